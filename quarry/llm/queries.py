@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, mixing, neardup, quality, secrets, toxicity, urls
+from quarry.llm import decontaminate, mixing, neardup, quality, secrets, toxicity, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_attention_quality": op2_attention_quality,
     "op4_winnowing": op4_winnowing,
     "op5_url_rules": op5_url_rules,
+    "op6_inverted_multi_index": op6_inverted_multi_index,
     "op7_weak_toxicity": op7_weak_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op10_mix_sources": op10_mix_sources,
