@@ -31,25 +31,6 @@ GRAM = 4
 BLOOM_BITS = 1 << 23
 
 
-def _winnow(words: W.Words, hashes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, fingerprint) of the kept runs; each ``span`` words of one text keep at least one."""
-    left = words.left()
-    if not len(left):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    runs = np.full(len(hashes), np.iinfo(np.uint64).max, dtype=np.uint64)
-    full = W.grams(hashes, gram)
-    runs[: len(full)] = full
-    width = span - gram + 1
-    least = W.sliding_min(runs, width)  # least[i]: over runs i .. i + width - 1
-    ok = left[: len(least)] >= span
-    kept = np.zeros(len(hashes), dtype=bool)
-    for j in range(width):  # a run is kept if it is the least of a window that holds it; equal ones all are
-        own = runs[j : j + len(least)]
-        kept[j : j + len(least)] |= ok & (own == least)
-    at = np.flatnonzero(kept)
-    return at, runs[at]
-
-
 def _short(hashes: np.ndarray, n: int) -> np.ndarray:
     return W.mix(W.grams(hashes, n) ^ np.uint64(n * int(W.LENGTH) % (1 << 64)))
 
@@ -61,7 +42,7 @@ def _item_prints(span: int, gram: int):
             for row, _, data, at in W.steps(batch.column(1)):
                 words = W.split(data, at, W.ALNUM, lower=True)
                 hashes = words.hashes()
-                spots, values = _winnow(words, hashes, span, gram)
+                spots, values = W.winnow(words, hashes, span, gram)
                 for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
                     if 0 < b - a < span:
                         found = [(0, int(_short(hashes[a:b], int(b - a))[0]))]
@@ -118,7 +99,7 @@ def _doc_prints(span: int, gram: int, short: list[int], bits: bytes):
             for _, _, data, at in W.steps(batch.column(1)):
                 words = W.split(data, at, W.ALNUM, lower=True)
                 hashes = words.hashes()
-                spots, values = _winnow(words, hashes, span, gram)
+                spots, values = W.winnow(words, hashes, span, gram)
                 for n in short:
                     here = np.flatnonzero(words.left() >= n)
                     spots, values = np.append(spots, here), np.append(values, _short(hashes, n)[here])

@@ -162,6 +162,25 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def winnow(words: Words, hashes: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, fingerprint) of the kept runs; each ``span`` words of one text keep at least one."""
+    left = words.left()
+    if not len(left):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    runs = np.full(len(hashes), np.iinfo(np.uint64).max, dtype=np.uint64)
+    full = grams(hashes, gram)
+    runs[: len(full)] = full
+    width = span - gram + 1
+    least = sliding_min(runs, width)  # least[i]: over runs i .. i + width - 1
+    ok = left[: len(least)] >= span
+    kept = np.zeros(len(hashes), dtype=bool)
+    for j in range(width):  # a run is kept if it is the least of a window that holds it; equal ones all are
+        own = runs[j : j + len(least)]
+        kept[j : j + len(least)] |= ok & (own == least)
+    at = np.flatnonzero(kept)
+    return at, runs[at]
+
+
 def signed(a: np.ndarray) -> np.ndarray:
     """The same bits as Spark's long."""
     return np.ascontiguousarray(a).view(np.int64)
