@@ -45,7 +45,7 @@ class Bands:
 BANDS = Bands()
 #: Rows that one comparison group holds at most: of the sets that are looked up, and of those streamed past them.
 STAR_BLOCK = 192
-REST_BLOCK = 64
+REST_BLOCK = 128
 
 
 def shingle_sets(column, ngram: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -253,7 +253,9 @@ def near_duplicates(
         named.join(first, named["id"] == first["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component")),
         "dedup-marked",
     )
-    sizes = marked.groupBy("key", "component").agg(F.count("*").alias("n"))
+    # the component that leads a bucket is the one that is largest overall, so hardly any row is outside of it
+    whole = stored(first.groupBy("component").agg(F.count("*").alias("whole")).withColumnRenamed("component", "of"), "dedup-sizes")
+    sizes = marked.join(whole, marked["component"] == whole["of"], "left").groupBy("key", "component").agg(F.max(F.coalesce("whole", F.lit(1))).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct(F.col("n"), (-F.col("component")).alias("c"))).alias("m"), F.count("*").alias("parts"))
     main = stored(main.where("parts > 1").select(F.col("key").alias("main_key"), (-F.col("m.c")).alias("main")), "dedup-main")
     split = marked.join(main, marked["key"] == main["main_key"])
@@ -291,10 +293,12 @@ def _rest(outside: DataFrame, inside: DataFrame, sets: DataFrame, percent: int)
     near = outside.join(counts, outside["main"] == counts["of"]).select("main", "id", F.pmod(F.xxhash64("id"), F.col("b_out")).cast("int").alias("block"), "b_out", "b_in")
     far = inside.join(counts, inside["main"] == counts["of"]).select("main", "id", F.pmod(F.xxhash64("id"), F.col("b_in")).cast("int").alias("block"), "b_out", "b_in")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    # base blocks: the outsiders; chunks 0.. are blocks of the component, then blocks of outsiders
-    base = near.select(F.col("main").alias("g"), F.col("block").alias("part"), F.explode(upto(F.col("b_in") + F.col("b_out"))).alias("chunk"), F.lit(0).alias("role"), "id")
+    # base blocks: the outsiders; chunks 0.. are blocks of the component, then blocks of outsiders, each pair of them once
+    to = lambda first, last: F.explode(F.sequence(first, last))
+    whole = F.concat(upto(F.col("b_in")), F.sequence(F.col("b_in") + F.col("block"), F.col("b_in") + F.col("b_out") - 1))
+    base = near.select(F.col("main").alias("g"), F.col("block").alias("part"), F.explode(whole).alias("chunk"), F.lit(0).alias("role"), "id")
     stream_in = far.select(F.col("main").alias("g"), F.explode(upto(F.col("b_out"))).alias("part"), F.col("block").alias("chunk"), F.lit(1).alias("role"), "id")
-    stream_out = near.select(F.col("main").alias("g"), F.explode(upto(F.col("b_out"))).alias("part"), (F.col("b_in") + F.col("block")).alias("chunk"), F.lit(1).alias("role"), "id")
+    stream_out = near.select(F.col("main").alias("g"), to(F.lit(0), F.col("block")).alias("part"), (F.col("b_in") + F.col("block")).alias("chunk"), F.lit(1).alias("role"), "id")
     return stored(_compare(base.unionByName(stream_in).unionByName(stream_out), sets, percent), "dedup-rest")
 
 
