@@ -63,6 +63,13 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     )
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``size`` and the hash ``h``."""
+    return docs.withColumns(
+        {"size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "h": hash36(F.col(id_col))}
+    )
+
+
 def mix(
     docs: DataFrame,
     weights=(3, 1, 2),
@@ -73,15 +80,28 @@ def mix(
     source_col: str = "source",
 ) -> DataFrame:
     """How often each document goes into the mix: (doc_id, source, size, source_size, target, copies, taken)."""
-    base = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            hash36(F.col(id_col)).alias("h"),
-        ),
-        "mix-sizes",
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    base = stored(_sized(picked, "doc_id", "text").drop("text"), "mix-sizes")
+    return _dealt(base, _plan(base, weights, share, most))
+
+
+def mixed(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The documents that the mix takes, with all columns, and (size, source_size, target, copies, taken)."""
+    base = stored(_sized(docs.select("doc_id", "text", "source"), "doc_id", "text").drop("text"), "mix-sizes")
+    return _dealt(_sized(docs, "doc_id", "text"), _plan(base, weights, share, most)).where("copies > 0")
+
+
+def _dealt(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    copies = (F.col("whole") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)).cast("long")
+    return (
+        rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]))
+        .withColumns({"copies": copies, "taken": F.col("size") * copies})
+        .select(*[c for c in rows.columns if c != "h"], "source_size", "target", "copies", "taken")
     )
+
+
+def _plan(base: DataFrame, weights, share: float, most: int) -> DataFrame:
+    """Per source its target, whole copies and the hash below which documents are taken once more."""
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(
         source_targets(sizes, weights, share, most)
@@ -112,13 +132,11 @@ def mix(
     limits = cuts.select(
         F.col("source").alias("limit_source"), (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("limit")
     )
-    plan = (
-        targets.join(limits, targets["source"].eqNullSafe(limits["limit_source"]), "left")
-        .select(F.col("source").alias("plan_source"), "source_size", "target", "whole", F.coalesce("limit", F.lit(0)).alias("limit"))
-    )
-    copies = (F.col("whole") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)).cast("long")
-    return base.join(plan, base["source"].eqNullSafe(plan["plan_source"])).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+    return stored(
+        targets.join(limits, targets["source"].eqNullSafe(limits["limit_source"]), "left").select(
+            F.col("source").alias("plan_source"), "source_size", "target", "whole", F.coalesce("limit", F.lit(0)).alias("limit")
+        ),
+        "mix-plan",
     )
 
 

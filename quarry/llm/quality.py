@@ -159,3 +159,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted) per row."""
     scored = score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts; columns unchanged. Rows are filtered where they are read."""
+    model = fit(docs, labels, id_col=id_col, text_col=text_col)
+    place = docs.columns.index(text_col)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.zeros(0, dtype=bool)]
+            for row, end, data, at in W.steps(batch.column(place)):
+                keep.append(np.ones(end - row, dtype=bool) if model is None else np.round(model.scores(*passages(data, at)), 6) >= reject)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(good, docs.schema)
