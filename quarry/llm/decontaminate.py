@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.store import stored
+from quarry.llm.store import small_batches, stored
 
 #: Consecutive words that a shared span has at least.
 SPAN = 10
@@ -174,6 +174,7 @@ def contamination(
     gram: int = GRAM,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, items) per row: words inside spans shared with the benchmark, and whose they are."""
+    small_batches(docs.sparkSession)
     items = stored(
         benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).mapInArrow(
             _item_prints(span, gram), "item_id string, print long, spot int, n int, hashes binary"
@@ -208,4 +209,5 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark span; columns unchanged."""
     bad = contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
+    bad = stored(bad, "leaky-ids")  # its size is known before the join is planned, so texts need no shuffle if it is small
     return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import words as W
 from quarry.llm.graph import connected_components
-from quarry.llm.store import parallelism, stored
+from quarry.llm.store import parallelism, small_batches, stored
 
 
 @dataclass(frozen=True)
@@ -198,6 +198,7 @@ def near_duplicates(
     bands: Bands = BANDS,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; documents of similarity ``percent`` / 100 or more are linked."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(
         texts.mapInArrow(_signer(ngram, bands), "id long, n_shingles long, f1 long, f2 long, half_keys array<long>"), "dedup-signatures"

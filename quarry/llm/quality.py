@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm import words as W
 from quarry.llm.labelled import held_out, sample
 from quarry.llm.passages import FEATURES, passages
+from quarry.llm.store import small_batches
 
 #: Labelled documents that the model is fitted on at most.
 FIT_ROWS = 6000
@@ -114,6 +115,7 @@ def fit_attention(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int =
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Attention | None:
     """Fit on a bounded sample of labelled training rows; None without any."""
+    small_batches(docs.sparkSession)
     found = sample(docs, labels, "quality", rows, id_col, text_col)
     encoded = found.mapInArrow(_encode, "y int, n int, x binary").toPandas()
     if not len(encoded):
@@ -162,15 +164,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts; columns unchanged. Rows are filtered where they are read."""
+    """The rows of ``docs`` that the classifier accepts; columns unchanged. Texts go to Python, only scores come back."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
-    place = docs.columns.index(text_col)
 
-    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [np.zeros(0, dtype=bool)]
-            for row, end, data, at in W.steps(batch.column(place)):
-                keep.append(np.ones(end - row, dtype=bool) if model is None else np.round(model.scores(*passages(data, at)), 6) >= reject)
-            yield batch.filter(pa.array(np.concatenate(keep)))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = [np.zeros(0)]
+        for row, end, data, at in W.steps(texts):
+            parts.append(np.full(end - row, 0.5) if model is None else model.scores(*passages(data, at)))
+        return pa.array(np.round(np.concatenate(parts), 6))
 
-    return docs.mapInArrow(good, docs.schema)
+    return docs.where(scored(F.col(text_col)) >= reject)

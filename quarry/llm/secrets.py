@@ -160,4 +160,5 @@ def span_string(spans: Column) -> Column:
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in whose texts no span is found; columns unchanged."""
     dirty = scan(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("more") > 0)).select(F.col("doc_id").alias("dirty_id")).distinct()
+    dirty = stored(dirty, "secret-ids")  # its size is known before the join is planned, so texts need no shuffle if it is small
     return docs.join(dirty, docs[id_col].eqNullSafe(dirty["dirty_id"]), "left_anti")

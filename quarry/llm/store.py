@@ -34,3 +34,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session, for explicit keyed repartitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of an Arrow batch of texts at most.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small, on both sides of the pipe; a session that asks for less keeps its value."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, BATCH_ROWS)

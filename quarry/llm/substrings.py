@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.store import stored
+from quarry.llm.store import small_batches, stored
 
 SPAN = 20
 GRAM = 6
@@ -152,6 +152,7 @@ def _removals(span: int, gram: int):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_sha256) per row; spans are word ranges, ends exclusive."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     whole = stored(texts.mapInArrow(_first_of_each, "id long, n_words long, digest string, size long"), "sub-texts")
     known = whole.where("id is not null and n_words >= " + str(span))

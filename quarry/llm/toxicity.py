@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import words as W
 from quarry.llm.labelled import held_out, sample
+from quarry.llm.store import small_batches
 
 #: Labelled documents that voters and models are fitted on at most.
 FIT_ROWS = 5000
@@ -206,6 +207,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Linear | None:
     """Fit on a bounded sample of labelled training rows; None without any."""
+    small_batches(docs.sparkSession)
     found = sample(docs, labels, "toxic", rows, id_col, text_col).mapInArrow(_sets, "y int, tokens binary, forms binary").toPandas()
     if not len(found):
         return None

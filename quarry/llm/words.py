@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that one numpy step handles at most (a longer single text is its own step).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
