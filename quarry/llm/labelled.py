@@ -19,6 +19,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: st
     Only ids are ranked; a bounded number of texts follows. Ids with labels that contradict each other count once, by
     the greatest label.
     """
+    labels, docs = labels.select(id_col, label), docs.select(id_col, text_col)
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("known_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("known_id"), "known_id").limit(rows)

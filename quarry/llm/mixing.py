@@ -64,9 +64,9 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``size`` and the hash ``h``."""
+    """``docs`` with ``size`` and the hash ``_mix_h``; a column of either name is replaced."""
     return docs.withColumns(
-        {"size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "h": hash36(F.col(id_col))}
+        {"size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "_mix_h": hash36(F.col(id_col))}
     )
 
 
@@ -92,14 +92,20 @@ def mixed(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2)
 
 
 def _dealt(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    copies = (F.col("whole") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)).cast("long")
-    return (
-        rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]))
-        .withColumns({"copies": copies, "taken": F.col("size") * copies})
-        .select(*[c for c in rows.columns if c != "h"], "source_size", "target", "copies", "taken")
+    """``rows`` with what the plan says of each; columns of these names are replaced."""
+    added = ("source_size", "target", "copies", "taken")
+    own = rows.select(*[c for c in rows.columns if c not in added and c not in PLAN])
+    copies = (F.col("_mix_whole") + F.when(F.col("_mix_h") < F.col("_mix_limit"), 1).otherwise(0)).cast("long")
+    joined = own.join(plan, own["source"].eqNullSafe(plan["_mix_source"])).withColumn("copies", copies)
+    return joined.select(
+        *[c for c in own.columns if c != "_mix_h"], F.col("_mix_size").alias("source_size"), F.col("_mix_target").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
+#: Columns of the plan; no table has such names.
+PLAN = ("_mix_source", "_mix_size", "_mix_target", "_mix_whole", "_mix_limit")
+
+
 def _plan(base: DataFrame, weights, share: float, most: int) -> DataFrame:
     """Per source its target, whole copies and the hash below which documents are taken once more."""
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -115,9 +121,9 @@ def _plan(base: DataFrame, weights, share: float, most: int) -> DataFrame:
         right = BITS - LEVEL_BITS * depth
         own = cuts.select(F.col("source").alias("cut_source"), "budget", "prefix", F.col("below").alias("outer"))
         inside = base.join(own, base["source"].eqNullSafe(own["cut_source"])).where(
-            F.shiftright("h", right + LEVEL_BITS) == F.col("prefix")
+            F.shiftright("_mix_h", right + LEVEL_BITS) == F.col("prefix")
         )
-        hist = inside.groupBy("source", "budget", "outer", F.shiftright("h", right).alias("bucket")).agg(F.sum("size").alias("words"))
+        hist = inside.groupBy("source", "budget", "outer", F.shiftright("_mix_h", right).alias("bucket")).agg(F.sum("size").alias("words"))
         order = Window.partitionBy("source").orderBy("bucket")
         summed = hist.withColumn("to", F.col("outer") + F.sum("words").over(order))
         ends = summed.where(F.col("to") > F.col("budget")).groupBy("source", "budget").agg(
@@ -134,7 +140,8 @@ def _plan(base: DataFrame, weights, share: float, most: int) -> DataFrame:
     )
     return stored(
         targets.join(limits, targets["source"].eqNullSafe(limits["limit_source"]), "left").select(
-            F.col("source").alias("plan_source"), "source_size", "target", "whole", F.coalesce("limit", F.lit(0)).alias("limit")
+            F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_size"), F.col("target").alias("_mix_target"),
+            F.col("whole").alias("_mix_whole"), F.coalesce("limit", F.lit(0)).alias("_mix_limit"),
         ),
         "mix-plan",
     )

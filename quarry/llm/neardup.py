@@ -305,8 +305,8 @@ def _rest(outside: DataFrame, inside: DataFrame, sets: DataFrame, percent: int)
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document leads its component; columns unchanged. Of rows that share an id one stays."""
-    dropped = near_duplicates(docs, id_col, text_col, ngram, percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    left = docs.join(stored(dropped, "dedup-dropped"), docs[id_col].cast("long") == F.col("dropped_id"), "left_anti")
+    dropped = near_duplicates(docs, id_col, text_col, ngram, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id")).distinct()
+    left = docs.join(stored(dropped, "dedup-dropped"), docs[id_col].cast("long") == F.col("_dropped_id"), "left_anti")
     if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return left
     return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))

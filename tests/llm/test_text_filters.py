@@ -1,0 +1,204 @@
+import collections
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, mixing, quality, secrets, toxicity, urls
+from quarry.llm.labelled import held_out
+
+from .helpers import LOWER, SPACE_WORD, corpus, prose, sha
+
+DOCS = "doc_id long, text string, source string, id string, h long"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_leaks(docs, items, span=10):
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = WORD.findall((t or "").translate(LOWER))
+        n = min(span, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[k : k + n])].add(i)
+    out = {}
+    for d, t in docs:
+        w = WORD.findall((t or "").translate(LOWER))
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if x := windows.get(tuple(w[k : k + n])):
+                    found |= x
+                    hit.update(range(k, k + n))
+        out[d] = (len(w), len(hit), sorted(map(str, found)))
+    return out
+
+
+def test_leaks_match_brute_force(spark):
+    r = random.Random(1)
+    items = [(i, prose(r, r.choice((3, 9, 10, 11, 30)))) for i in range(25)] + [(90, ""), (91, None), (92, "a a a a a a a a a a a a"), (93, "rho!")]
+    docs = []
+    for i in range(120):
+        text = prose(r, r.randint(0, 60))
+        if i % 3 == 0:
+            w = (r.choice(items)[1] or "").split()
+            a = r.randrange(len(w) + 1)
+            text += " " + " ".join(w[a : a + r.randint(1, 20)]).upper() + "; " + prose(r, 9)
+        docs.append((i, text))
+    docs += [(900, None), (901, ""), (902, "a " * 40), (903, items[4][1] * 2000)]
+    df = spark.createDataFrame([(i, t, "s", "x", 1) for i, t in docs], DOCS)
+    bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, print long")
+    got = {x["doc_id"]: (x["n_words"], x["n_hit"], sorted(x["items"])) for x in decontaminate.contamination(df, bench).collect()}
+    assert got == brute_leaks(docs, items)
+    clean = decontaminate.decontaminate(df, bench)
+    assert clean.columns == df.columns and {x["doc_id"] for x in clean.collect()} == {d for d, x in got.items() if not x[1]}
+
+
+def test_leak_cases(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "x", 1), (1, "a b", "s", "x", 1), (None, "a b", "s", "x", 1)], DOCS)
+    bench = spark.createDataFrame([(None, "a b", 0)], "item_id long, text string, print long")
+    assert sorted((x["n_hit"], x["items"]) for x in decontaminate.contamination(df, bench).collect()) == [(2, [])] * 3
+    assert decontaminate.contamination(df, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.contamination(df.limit(0), bench).collect() == []
+
+
+BASE = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute_spans(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in BASE.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secrets_match_brute_force(spark):
+    r = random.Random(3)
+    bits = ["secret : password : abcdefghijklm", "Token='", "AKIA" + "A1" * 7, "AKIAAKIA", "0123456789abcdef", "deadbeef" * 3, "API_KEY=abc/def+ghi_jkl", "pass", "é", "😀", "passwd\t=xxxxxxxxxxxxxx", "apikey = \"ABCDEFGHIJKLMNOP\"", "toKen:short"]
+    docs = [(i, " ".join(r.choice([*bits, prose(r, 3)]) for _ in range(r.randint(0, 12)))) for i in range(200)] + [(900, None), (901, "token=" + "a" * 50000)]
+    df = spark.createDataFrame([(i, t, "s", "x", 1) for i, t in docs], DOCS)
+    for x in secrets.scan(df).collect():
+        assert [tuple(s) for s in x["base"]] == brute_spans(dict(docs)[x["doc_id"]]), x["doc_id"]
+
+
+def test_random_tokens_are_found_and_words_are_not(spark):
+    r = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_ones = ["".join(r.choice(letters) for _ in range(40)) for _ in range(20)]
+    plain = ["internationalization-of-everything", "a" * 60, "lowercasewordswithoutanybreaks", "====================", "UPPER_CASE_CONSTANT_NAME_HERE", "path/to/some/long/directory/name"]
+    docs = [(i, f"see {t} there") for i, t in enumerate(random_ones + plain)]
+    df = spark.createDataFrame([(i, t, "s", "x", 1) for i, t in docs], DOCS)
+    more = {x["doc_id"]: [tuple(s) for s in x["more"]] for x in secrets.scan(df).collect()}
+    assert sum(bool(more[i]) for i in range(20)) >= 18
+    assert all(not more[i] for i in range(20, 26))
+    assert secrets.scan(df.limit(0)).collect() == []
+    assert secrets.without_secrets(df).columns == df.columns
+
+
+def test_mix(spark):
+    r = random.Random(6)
+    rows = [(i, prose(r, r.randint(0, 30)), r.choice(("a", "a", "a", "b", "é", None, "Z")), "x", 1) for i in range(400)] + [(1, None, "empty", "x", 1), (None, "a b", "a", "x", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    assert {(x["doc_id"], x["copies"]) for x in got} == {(x["doc_id"], x["copies"]) for x in mixing.mix(df.repartition(7)).collect()}
+    total = sum(len(SPACE_WORD.findall(x[1] or "")) for x in rows)
+    targets, taken, size = {}, collections.Counter(), collections.Counter()
+    for x in got:
+        assert x["taken"] in (0, x["size"], 2 * x["size"])
+        targets[x["source"]] = x["target"]
+        taken[x["source"]] += x["taken"]
+        size[x["source"]] += x["size"]
+    order = sorted(targets, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    want, open_, left = {}, set(order), 1.5 * total
+    while open_:
+        w = sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * size[s] < left * weight[s] / w}
+        want |= {s: 2.0 * size[s] for s in full} if full else {s: left * weight[s] / w for s in open_}
+        left -= sum(2 * size[s] for s in full)
+        open_ = open_ - full if full else set()
+    assert targets == pytest.approx(want)
+    assert all(abs(taken[s] - targets[s]) <= 31 for s in targets)
+    assert mixing.mix(df.limit(0)).collect() == []
+    assert set(df.columns) <= set(mixing.mixed(df).columns)
+
+
+def test_url_rules(spark):
+    cases = {
+        "http://a.com/x": ("a.com", "/x", "com/", "allow"), "HTTPS://WWW.Example.COM/en/1?q=1": ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        "x://m.example.com/en/#top": ("m.example.com", "/en/", "example.com/en/", "block"), "http://b.net/es/x": ("b.net", "/es/x", "net/es/", "block"), "http://notcom/": ("notcom", "/", None, None),
+        "http://a.com": ("a.com", "", None, None), "no scheme": ("", "", None, None), None: ("", "", None, None), "a://b://c/d": ("b:", "//c/d", None, None), "http://É.com/?x/y": ("É.com", "/", "com/", "allow"),
+    }
+    df = spark.createDataFrame([(i, u, "r", "t") for i, u in enumerate(cases)], "page_id long, url string, rule string, tokens string")
+    for x in urls.judge(df).collect():
+        host, path, rule, verdict = list(cases.values())[x["page_id"]]
+        assert (x["host"], x["path"], x["rule"]) == (host, path, rule)
+        assert x["verdict"] == verdict if rule else x["verdict"] in ("allow", "block")
+    assert urls.judge(df.limit(0)).collect() == []
+
+
+def test_mined_rules_decide(spark):
+    rows = [(i, f"http://h{i}.net/{'es' if i % 2 else 'en'}/spam/{i}") for i in range(40)] + [(99, "http://q.org/es/x/1"), (98, "http://q.org/zz/y/1")]
+    got = {x["page_id"]: x["verdict"] for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), min_support=0.05).collect()}
+    assert got[99] == "block"
+
+
+def labelled(r, n):
+    docs, labels = [], []
+    for i in range(n):
+        bad, toxic = r.random() < 0.3, r.random() < 0.3
+        text = prose(r, r.randint(30, 120))
+        if bad:
+            text = " ".join(w.upper() + "!!" for w in text.split()) if i % 2 else " ".join(w for w in text.split() for _ in range(5))
+        if toxic:
+            w = text.split(" ")
+            for _ in range(2):
+                w.insert(r.randrange(len(w)), r.choice(("scumbagger", "idiotic")) + r.choice(("", ".", "ly")))
+            text = " ".join(w)
+        docs.append((i, text, "s", "x", 1))
+        labels.append((i, int(not bad), int(toxic)))
+    return docs, labels
+
+
+@pytest.fixture(scope="module")
+def marked(spark):
+    docs, labels = labelled(random.Random(8), 900)
+    docs += [(5000, None, "s", "x", 1), (5001, "", "s", "x", 1), (5002, "w " * 40000, "s", "x", 1), (None, "a b", "s", "x", 1), (3, docs[3][1], "s", "x", 1)]
+    return spark.createDataFrame(docs, DOCS), spark.createDataFrame([*labels, (7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"), {i: (q, t) for i, q, t in labels}
+
+
+@pytest.mark.parametrize(("module", "place"), [(quality, 0), (toxicity, 1)])
+def test_classifiers_on_the_held_out_fold(spark, marked, module, place):
+    docs, labels, truth = marked
+    got = module.classify(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= x["score"] <= 1 for x in got)
+    for x in got:
+        assert x["held_out"] == (x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0)
+    fold = [(x["predicted"], truth[x["doc_id"]][place]) for x in got if x["held_out"] and x["doc_id"] in truth]
+    assert len(fold) > 100 and sum(p == y for p, y in fold) >= 0.95 * len(fold)
+    assert sorted((x["doc_id"] or -1, x["score"]) for x in got) == sorted((x["doc_id"] or -1, x["score"]) for x in module.classify(docs.repartition(3), labels).collect())
+    assert module.classify(docs.limit(0), labels).collect() == []
+    assert {x["score"] for x in module.classify(docs.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
+def test_labels_of_the_held_out_fold_are_not_used(spark, marked):
+    docs, labels, _ = marked
+    flipped = labels.withColumn("quality", F.when(held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    score = lambda x: sorted((r["doc_id"] or -1, r["score"]) for r in quality.classify(docs, x).collect())
+    assert score(labels) == score(flipped)
+
+
+def test_keep_good(spark, marked):
+    docs, labels, _ = marked
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    want = {x["doc_id"] for x in quality.classify(docs, labels).collect() if x["predicted"]}
+    assert {x["doc_id"] for x in kept.collect()} == want
+
+
+def test_fixture_has_copies():
+    texts = [t for _, t in corpus(9, 120)]
+    assert len(set(texts)) < len(texts) and sha("") != sha("x")
