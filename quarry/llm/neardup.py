@@ -215,7 +215,9 @@ def near_duplicates(
         for i in range(bands.left)
         for j in range(bands.right)
     ]
-    keyed = classes.select(F.col("class_id").alias("id"), F.explode(F.array(*tables)).alias("key"))
+    # each class becomes many rows here, so its few large partitions are dealt to more tasks first
+    spread = classes.select("class_id", "half_keys").repartition(2 * parallelism(docs.sparkSession), "class_id")
+    keyed = spread.select(F.col("class_id").alias("id"), F.explode(F.array(*tables)).alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "dedup-keys")
     bucketed = stored(keyed.join(shared, "key").select("key", "id"), "dedup-buckets")
 
