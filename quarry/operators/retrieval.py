@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -58,17 +59,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 class Index:
-    """The index of a corpus: ``tf`` is read twice by every search, so it is kept."""
+    """The index of a corpus: the long table ``tf`` (chunk, term, tf) and what follows from it.
 
-    def __init__(self, chunks: DataFrame):
+    A search reads ``tf`` for hits, frequencies, lengths and statistics: build it once and ``keep`` it in the session, or
+    ``write`` it as tables and ``load`` them.
+    """
+
+    def __init__(self, chunks: DataFrame, tf: DataFrame | None = None):
         self.chunks = chunks
-        self.tf = term_frequency(chunks)
+        self.tf = term_frequency(chunks) if tf is None else tf
         self.stats = corpus_stats(chunks, self.tf)
 
     def keep(self) -> Index:
-        self.tf = self.tf.persist()
+        """Keep ``tf`` in memory, and on disk beyond it; equal plans of later queries find it."""
+        self.tf = self.tf.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
+    def write(self, path: str) -> None:
+        """Two tables; postings are sorted by term within files, so a search prunes row groups by its terms."""
+        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+        self.tf.repartitionByRange("term").sortWithinPartitions("term", "chunk").write.mode("overwrite").parquet(f"{path}/postings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        return cls(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"))
+
     def weighted(self, wanted: DataFrame) -> DataFrame:
         """(term, df, idf) of the wanted terms; unseen ones have df 0 and a positive idf."""
         df = self.tf.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))

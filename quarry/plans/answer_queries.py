@@ -66,8 +66,10 @@ class Plan:
         self.spark, self.d = spark, d
         self.index = X.index(spark, d)
         self.asked = X.queries(spark, d)
-        self.order = S._order(spark, d, self.index)
-        self.sentences = sentences(self.index.chunks)
+        # no answer looks past the first eight chunks; only those are cut into sentences
+        self.order = S._order(spark, d, self.index).where("rn <= 8").persist()
+        wanted = self.order.select("chunk").distinct()
+        self.sentences = sentences(self.index.chunks.join(wanted, "chunk", "left_semi"))
 
     def scored(self, window: int = A.CHUNK_WINDOW, restrict: DataFrame | None = None) -> DataFrame:
         return A.sentence_scores(self.sentences, self.order, self.asked, self.index, window, restrict)

@@ -29,7 +29,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    return Index(chunks(spark, sf_dir))
+    return Index(chunks(spark, sf_dir)).keep()
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,14 @@ def test_empty_corpus(spark):
     assert A.coverage(asked, index).collect()[0]["coverage"] == 0.0
 
 
+def test_index_tables(spark, tmp_path):
+    chunks = spark.createDataFrame([(0, "en", "cats sit"), (1, "en", "dogs run")], "chunk long, lang string, text string")
+    asked = spark.createDataFrame([(5, "en", "running dogs")], "query long, lang string, text string")
+    R.Index(chunks).write(str(tmp_path))
+    loaded = R.Index.load(spark, str(tmp_path))
+    assert loaded.bm25(asked).collect() == R.Index(chunks).keep().bm25(asked).collect()
+
+
 def test_fusion_is_symmetric(spark):
     a = spark.createDataFrame([(1, 0, 1), (1, 1, 2)], "query long, chunk long, rn int")
     b = spark.createDataFrame([(1, 1, 1), (1, 0, 2)], "query long, chunk long, rn int")
