@@ -6,6 +6,7 @@ Payload: ``AIDE``, u32 header length, JSON header, zeros up to a multiple of 4,
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from quarry.operators.wordpiece import WordPiece
 
 # Fixed values of the payload format.
 MAGIC = b"AIDE"
-FORMAT = "aidoc-embedder-v1"
+FORMAT = "quarry-embedder-v1"
 MAX_DIMS, MAX_VOCAB, MAX_HEADER = 1024, 100_000, 4 << 20
 
 
@@ -45,7 +46,8 @@ def decode(data: bytes) -> Payload:
     if size > MAX_HEADER or 8 + size > len(data):
         raise ValueError("embedder: bad header length")
     header = json.loads(data[8 : 8 + size])
-    if header.get("format") != FORMAT:
+    # payloads of other tools have another first part
+    if not re.fullmatch(r"\w+-embedder-v1", header.get("format") or ""):
         raise ValueError("embedder: unknown format")
     rows, dims = header["rows"], header["dims"]
     vocab = len((header.get("tokenizer") or {}).get("vocab") or ())
