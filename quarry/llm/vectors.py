@@ -3,8 +3,8 @@
 Unit vectors are cut in halves; k-means on a bounded sample gives each half a codebook, and pairs of codewords form a
 product grid. A vector is stored in its own cell and visits cells in the order of the multi-sequence algorithm: by the
 summed squared distance that it must travel, per half, to leave its own codeword's region for another's (Voronoi
-margins). It stops at a radius which is calibrated on the sample so that pairs at exactly the least cosine are met with
-probability ``TARGET_RECALL``. Met pairs are verified in double precision.
+margins). It stops at a radius which is calibrated on the sample so that of pairs at exactly the least cosine either side
+meets the other with probability ``TARGET_RECALL``; both do not with far less than the rest. Met pairs are verified in double precision.
 
 Vectors that are equal are one class. A pair is found if either side visits the other's cell, and counts for both. Cells
 are cut into blocks and visitors into chunks, so no task sees a whole large cell.
@@ -31,9 +31,9 @@ LEAST_COSINE = 0.93
 #: Vectors that the codebooks are fitted on at most.
 FIT_ROWS = 16384
 #: Stored vectors that a cell holds about; it sets the codebooks' size.
-PER_CELL = 24
+PER_CELL = 96
 MOST_CODES = 256
-TARGET_RECALL = 0.9995
+TARGET_RECALL = 0.99
 BLOCK = 128
 
 
@@ -150,54 +150,78 @@ def _placer(grids: dict[int, Grid]):
     return place
 
 
+def _matrix(column) -> np.ndarray:
+    """Rows of equal length from a binary column of float64 values."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].view(np.float64).reshape(len(column), -1)
+
+
+def _links(group: pa.Table, least: float) -> Iterator[tuple]:
+    """(src, dst, None) edges of a spanning forest and (id, None, links) of one block of stored rows and its visitors."""
+    role = group["role"].to_numpy()
+    n_base = int((role == 0).sum())
+    if not n_base or n_base == len(role):
+        return
+    ids, n, cell = (group[c].to_numpy() for c in ("id", "n", "cell"))
+    x = _matrix(group["unit"])
+    base, q = slice(0, n_base), slice(n_base, len(role))
+    hit = (x[q] @ x[base].T >= least) & (ids[q][:, None] != ids[base][None, :])
+    i, j = np.nonzero(hit)
+    if not len(i):
+        return
+    gains = dict(zip(ids[q].tolist(), (hit @ n[base]).tolist(), strict=True))
+    visits = group["visits"].combine_chunks().slice(0, n_base)
+    for k in np.unique(j):
+        # where the stored side does not visit the visitor's cell, it learns of the link here
+        near = i[j == k]
+        unseen = near[~np.isin(cell[q][near], visits[int(k)].values.to_numpy())]
+        if len(unseen):
+            own = int(ids[base][k])
+            gains[own] = gains.get(own, 0) + int(n[q][unseen].sum())
+    root: dict[int, int] = {}
+
+    def top(v):
+        while root.get(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in zip(ids[q][i].tolist(), ids[base][j].tolist(), strict=True):
+        s, t = top(a), top(b)
+        if s != t:
+            root[max(s, t)] = min(s, t)
+            yield a, b, None
+    for v, links in gains.items():
+        if links:
+            yield v, None, links
+
+
 def _comparer(least: float):
-    """Rows (label, dims, at, block, chunk, role, id, n, cell, visits, unit) sorted by group, stored rows (role 0) first."""
-
-    def flush(base: list, visitors: list) -> Iterator[tuple]:
-        if not base or not visitors:
-            return
-        x = np.stack([np.frombuffer(r["unit"]) for r in base])
-        q = np.stack([np.frombuffer(r["unit"]) for r in visitors])
-        root: dict[int, int] = {}
-
-        def top(v):
-            while root.get(v, v) != v:
-                v = root[v]
-            return v
-
-        gains: dict[int, int] = {}
-        back = [set(r["visits"]) for r in base]
-        for i, j in zip(*np.nonzero(q @ x.T >= least), strict=True):
-            a, b = visitors[i], base[j]
-            if a["id"] == b["id"]:
-                continue
-            gains[a["id"]] = gains.get(a["id"], 0) + b["n"]
-            if a["cell"] not in back[j]:  # the other side does not visit, so it learns of the link here
-                gains[b["id"]] = gains.get(b["id"], 0) + a["n"]
-            s, t = top(a["id"]), top(b["id"])
-            if s != t:
-                root[max(s, t)] = min(s, t)
-                yield a["id"], b["id"], None
-        for v, n in gains.items():
-            yield v, None, n
+    """Rows (g, role, id, n, cell, visits, unit) sorted by group, stored rows (role 0) first."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, base, visitors = None, [], []
+        pending: list[pa.RecordBatch] = []
 
-        def out(rows):
+        def out(rows: list[tuple]) -> pa.RecordBatch:
             a, b, n = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["src", "dst", "links"])
 
+        def flush() -> list[tuple]:
+            rows = list(_links(pa.Table.from_batches(pending), least)) if pending else []
+            pending.clear()
+            return rows
+
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                key = (r["label"], r["dims"], r["at"], r["block"], r["chunk"])
-                if key != group:
-                    rows += flush(base, visitors)
-                    group, base, visitors = key, [], []
-                (visitors if r["role"] else base).append(r)
+            g = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if pending and pending[0].column(0)[0].as_py() != g[a]:
+                        rows += flush()
+                    pending.append(batch.slice(a, b - a))
             yield out(rows)
-        yield out(list(flush(base, visitors)))
+        yield out(flush())
 
     return compare
 
@@ -240,7 +264,8 @@ def near_duplicates(
     base = placed.select("id", "label", "dims", F.col("cell").alias("at")).join(cells, ["label", "dims", "at"]).select("id", "label", "dims", "at", deal("blocks").alias("block"), upto("chunks").alias("chunk"), F.lit(0).alias("role"))
     visitors = visits.join(cells, ["label", "dims", "at"]).select("id", "label", "dims", "at", upto("blocks").alias("block"), deal("chunks").alias("chunk"), F.lit(1).alias("role"))
     full = base.unionByName(visitors).join(placed.select(F.col("id").alias("own"), "n", "cell", "visits", "unit"), F.col("id") == F.col("own"))
-    dealt = full.select(*group, "role", "id", "n", "cell", "visits", "unit").repartition(parallelism(spark), *group).sortWithinPartitions(*group, "role")
+    grouped = full.select(F.xxhash64(*group).alias("g"), "role", "id", "n", "cell", "visits", "unit")
+    dealt = grouped.repartition(parallelism(spark), "g").sortWithinPartitions("g", "role")
     found = stored(dealt.mapInArrow(_comparer(least), "src long, dst long, links long"), "vec-links")
 
     links = found.where("dst is null").groupBy(F.col("src").alias("link_id")).agg(F.sum("links").alias("links"))
