@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.tables import stored
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions of every edge: (node, other, edge_idx, relation, forward)."""
@@ -36,19 +38,27 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFr
     """
     adj = adjacency(edges).where("node <> other").select("node", "other", "edge_idx")
     inner = adj.groupBy("node").agg(F.count_distinct("other").alias("degree")).where("degree > 1").select(F.col("node").alias("inner"))
-    steps = adj.join(inner, F.col("other") == F.col("inner"), "left").select("node", "other", "edge_idx", F.col("inner").isNotNull().alias("through"))
-    empty = F.array().cast("array<long>")
-    front = pairs.select("pair", "b", F.col("a").alias("at"), empty.alias("path"))
-    found = front.where("at = b").select("pair", "path")
-    seen = front.select("pair", F.col("at").alias("seen"))
+    steps = stored(adj.join(inner, F.col("other") == F.col("inner"), "left").select("node", "other", "edge_idx", F.col("inner").isNotNull().alias("through")), "graph-steps")
+    # one table per step: plans stay small, and the walk ends when nothing new is reached
+    front = stored(pairs.select("pair", "b", F.col("a").alias("at"), F.array().cast("array<long>").alias("path")), "graph-front")
+    fronts = [front]
     for _ in range(depth):
-        front = front.where("at <> b")
-        walked = front.join(steps, F.col("at") == F.col("node")).where("through or other = b")
+        walked = front.where("at <> b").join(steps, F.col("at") == F.col("node")).where("through or other = b")
         nearest = walked.groupBy("pair", "b", F.col("other").alias("at")).agg(F.min(F.concat("path", F.array("edge_idx"))).alias("path"))
-        front = nearest.join(seen, (nearest["pair"] == seen["pair"]) & (nearest["at"] == seen["seen"]), "left_anti")
-        found = found.unionByName(front.where("at = b").select("pair", "path"))
-        seen = seen.unionByName(front.select("pair", F.col("at").alias("seen")))
-    return found.groupBy("pair").agg(F.min_by("path", F.size("path")).alias("path"))
+        seen = fronts[0].select("pair", "at")
+        for f in fronts[1:]:
+            seen = seen.unionByName(f.select("pair", "at"))
+        done = fronts[0].where("at = b").select("pair")
+        for f in fronts[1:]:
+            done = done.unionByName(f.where("at = b").select("pair"))
+        front = stored(nearest.join(seen, ["pair", "at"], "left_anti").join(done, "pair", "left_anti").select("pair", "b", "at", "path"), "graph-front")
+        if front.isEmpty():
+            break
+        fronts.append(front)
+    found = fronts[0].where("at = b").select("pair", "path")
+    for f in fronts[1:]:
+        found = found.unionByName(f.where("at = b").select("pair", "path"))
+    return found
 
 
 def path_steps(paths: DataFrame, pairs: DataFrame, edges: DataFrame) -> DataFrame:
