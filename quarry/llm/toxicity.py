@@ -180,7 +180,7 @@ def fit_tokens(sets: list[np.ndarray], forms: np.ndarray, y: np.ndarray) -> Line
     return Linear(names[chosen], w[: len(chosen)], w[len(chosen) : -1], float(w[-1]))
 
 
-def fit_logistic(x: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray:
+def fit_logistic(x: np.ndarray, target: np.ndarray, rounds: int = 1200) -> np.ndarray:
     """Full-batch Adam on the log-loss against soft targets, with a little weight decay."""
     w, target = np.zeros(x.shape[1], dtype=np.float32), target.astype(np.float32)
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
