@@ -380,22 +380,19 @@ def relation_answer(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ask_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Every routed question with the kind of its answer, one plan per kind."""
-    from quarry.operators import router
-
-    routed = router.route(Q.questions(spark, d), Q.names(spark, d))
-    return answer_routes(routed, content(spark, d))
-
-
-def answer_routes(routed: DataFrame, stored: DataFrame) -> DataFrame:
-    """(query, intent, kind): routes that need stored content look for it; the others are answered from the text or graph."""
-    has = stored.select(F.col("section_id").alias("s"), F.lit(True).alias("has"))
-    joined = routed.join(has, F.col("section_id") == F.col("s"), "left")
-    by_content = F.when(F.col("scope") == "document", "docSummary").when(F.col("has"), "generated").otherwise("message")
-    kind = (
-        F.when(F.col("intent") == "summary", by_content)
-        .when(F.col("intent").isin("simple", "keyPoints"), F.when(F.col("has"), "generated").otherwise("message"))
-        .when(F.col("intent") == "find", "search")
-        .otherwise(F.col("intent"))
+    """Every routed question with its answer, by keywords: documents are chunks, regions are sections of content."""
+    from quarry.operators.engine import Engine
+
+    n = F.size(F.split("text", "\n"))
+    blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("b"), i.cast("string")))
+    chunks = X.chunks(spark, d).withColumns({"blocks": blocks, "heading_path": F.array().cast("array<string>")})
+    about = F.concat(F.lit("About "), F.col("r_name"), F.lit("."))
+    region = X.table(spark, d, "region").select(F.col("r_name").alias("section_id"), F.col("r_name").alias("title"), about.alias("summary"))
+    stored = region.select("section_id", "summary", F.lit(None).cast("string").alias("simple"), F.array("summary").alias("key_points"))
+    items = X.table(spark, d, "nation").join(F.broadcast(X.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_name").alias("section_id"), F.col("n_nationkey").alias("quiz_id"), F.concat(F.lit("Where is "), F.col("n_name"), F.lit("?")).alias("question")
     )
-    return joined.select("query", "intent", kind.alias("kind"))
+    nodes = Q.nodes(spark, d).withColumn("aliases", F.array().cast("array<string>"))
+    known = nodes.where(F.col("id").rlike("^(region|nation):"))
+    engine = Engine(chunks, region.select("section_id", "title"), content=stored, quiz=items, nodes=known, edges=Q.edges(spark, d).where("relation = 'is part of'"))
+    return engine.ask(Q.questions(spark, d)).select("query", "intent", "scope", "section_id", "kind", F.md5("text").alias("text_md5"), F.array_join("sections", ",").alias("sections"))
