@@ -32,6 +32,11 @@ def doc_lengths(tf: DataFrame) -> DataFrame:
     return tf.groupBy("chunk").agg(F.sum("tf").alias("dl"))
 
 
+def with_lengths(tf: DataFrame) -> DataFrame:
+    """``tf`` with each chunk's length ``dl``."""
+    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("chunk")))
+
+
 def corpus_stats(chunks: DataFrame, tf: DataFrame) -> DataFrame:
     """One row (n, avgdl); chunks without terms count."""
     total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
@@ -59,26 +64,32 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 class Index:
-    """The index of a corpus: the long table ``tf`` (chunk, term, tf) and what follows from it.
+    """The index of a corpus: the long table ``postings`` (chunk, term, tf, dl) and what follows from it.
 
-    A search reads ``tf`` for hits, frequencies, lengths and statistics: build it once and ``keep`` it in the session, or
+    Each posting carries its chunk's length, so scoring joins no second table.
+
+    A search reads it for hits, frequencies, lengths and statistics: build it once and ``keep`` it in the session, or
     ``write`` it as tables and ``load`` them.
     """
 
-    def __init__(self, chunks: DataFrame, tf: DataFrame | None = None):
+    def __init__(self, chunks: DataFrame, postings: DataFrame | None = None):
         self.chunks = chunks
-        self.tf = term_frequency(chunks) if tf is None else tf
-        self.stats = corpus_stats(chunks, self.tf)
+        self._use(with_lengths(term_frequency(chunks)) if postings is None else postings)
+
+    def _use(self, postings: DataFrame) -> None:
+        self.postings = postings
+        self.tf = postings.select("chunk", "term", "tf")
+        self.stats = corpus_stats(self.chunks, self.tf)
 
     def keep(self) -> Index:
-        """Keep ``tf`` in memory, and on disk beyond it; equal plans of later queries find it."""
-        self.tf = self.tf.persist(StorageLevel.MEMORY_AND_DISK)
+        """Keep the postings in memory, and on disk beyond it; equal plans of later queries find them."""
+        self._use(self.postings.persist(StorageLevel.MEMORY_AND_DISK))
         return self
 
     def write(self, path: str) -> None:
         """Two tables; postings are sorted by term within files, so a search prunes row groups by its terms."""
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.tf.repartitionByRange("term").sortWithinPartitions("term", "chunk").write.mode("overwrite").parquet(f"{path}/postings")
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk").write.mode("overwrite").parquet(f"{path}/postings")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
@@ -91,11 +102,10 @@ class Index:
         return known.crossJoin(F.broadcast(self.stats)).select("term", "df", idf_value(F.col("n"), F.col("df")).alias("idf"))
 
     def bm25(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-        """(query, chunk, score), score > 0. Only postings of query terms meet their chunk's length."""
+        """(query, chunk, score), score > 0. Only postings of query terms are scored."""
         wanted = query_terms(queries)
-        hits = self.tf.join(wanted, "term")
-        lengths = doc_lengths(self.tf)
-        scored = hits.join(self.weighted(wanted), "term").join(lengths, "chunk").crossJoin(F.broadcast(self.stats.select("avgdl")))
+        asked = wanted.join(self.weighted(wanted), "term")
+        scored = self.postings.join(asked, "term").crossJoin(F.broadcast(self.stats.select("avgdl")))
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         return scored.groupBy("query", "chunk").agg(F.sum(part).alias("score")).where("score > 0")
 
