@@ -77,9 +77,9 @@ class Engine:
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         return E.embed(queries.select("query", "text"), "text", self.embedder).select("query", "vector")
 
-    def order(self, queries: DataFrame) -> DataFrame:
-        """(query, chunk, fused, rn)."""
-        bm25 = self.index.bm25(queries)
+    def order(self, queries: DataFrame, wide: DataFrame | None = None) -> DataFrame:
+        """(query, chunk, fused, rn); ``wide`` has the texts to look up words of, where they are not the questions' own."""
+        bm25 = self.index.bm25(queries if wide is None else wide)
         return R.hybrid(bm25, None if self.vectors is None else R.cosines(self.query_vectors(queries), self.vectors, R.COSINE_DEPTH))
 
     def sentences(self, order: DataFrame) -> DataFrame:
@@ -120,18 +120,18 @@ class Engine:
         terms = variants.groupBy("faq").agg(F.array_distinct(F.flatten(F.collect_list(T.analyze(F.col("text"))))).alias("f_terms"))
         return best.join(terms, "faq").join(asked, "query").select("query", "faq", "score", A.faq_coverage(F.col("q_terms"), F.col("f_terms")).alias("coverage"))
 
-    def extract(self, queries: DataFrame) -> DataFrame:
-        """(query, place, chunk, section_id, block_id, sentence, score)."""
-        order = stored(self.order(queries).where(F.col("rn") <= A.CHUNK_WINDOW), "ask-order")
+    def extract(self, queries: DataFrame, wide: DataFrame | None = None, window: int = A.CHUNK_WINDOW, restrict: DataFrame | None = None, most: int = 3) -> DataFrame:
+        """(query, place, chunk, lang, section_id, block_id, sentence, score)."""
+        order = stored(self.order(queries, wide).where(F.col("rn") <= window), "ask-order")
         cut = self.sentences(order)
         if self.vectors is not None:
             cut = E.embed(cut, "sentence", self.embedder)
-        scored = A.sentence_scores(cut, order, queries, self.index)
+        scored = A.sentence_scores(cut, order, queries, self.index, window, restrict)
         if self.vectors is not None:
             v = cut.select("chunk", "sentence_pos", "vector")
             q = self.query_vectors(queries).withColumnRenamed("vector", "q_vector")
             scored = scored.join(v, ["chunk", "sentence_pos"]).join(q, "query").withColumn("score", F.col("score") + V.dot(F.col("vector"), F.col("q_vector"))).drop("vector", "q_vector")
-        return A.extract(scored).join(self.chunks.select("chunk", "section_id"), "chunk")
+        return A.extract(scored, most).join(self.chunks.select("chunk", "lang", "section_id"), "chunk")
 
     def question(self, queries: DataFrame) -> DataFrame:
         """(query, kind, text, sections): not covered, a stored answer, or extracted sentences."""
@@ -180,22 +180,60 @@ class Engine:
         return whole.select("query", "quiz_id", "section_id", "question").unionByName(section.select("query", "quiz_id", "section_id", "question"))
 
     def relation(self, rows: DataFrame) -> DataFrame:
-        """(query, steps, sentences, sections) for rows (query, a, b): the path, and what the text says of its first steps."""
+        """(query, steps, sentences, sections) for rows (query, text, lang, a, b): the path, and what the text says of its first steps.
+
+        Where there is no path or no stated link, the best sentence naming both concepts, else one per concept.
+        """
         pairs = rows.select(F.col("query").alias("pair"), "a", "b")
         paths = stored(G.shortest_paths(self.edges, pairs), "relation-paths")
-        steps = paths.select("pair", F.posexplode("path").alias("step", "edge_idx")).join(self.edges, "edge_idx")
+        steps = G.path_steps(paths, pairs, self.edges)
         ends = steps.select("pair", "step", F.col("src").alias("x"), F.col("dst").alias("y")).unionByName(steps.select("pair", "step", F.col("dst").alias("x"), F.col("src").alias("y")))
         home = self.nodes.select(F.col("id").alias("x"), "section_id")
-        phrases = self.nodes.select(F.col("id").alias("y"), F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select("y", T.analyze(F.col("name")).alias("p"))
-        wanted = ends.where("step < 3").join(home, "x").join(phrases, "y")
+        names = self.nodes.select("id", F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).select("id", T.analyze(F.col("name")).alias("p"))
+        wanted = ends.where("step < 3").join(home, "x").join(names.withColumnRenamed("id", "y"), "y")
         inside = self.chunks.join(wanted.select("section_id").distinct(), "section_id", "left_semi")
         cut = self.sentences(inside).withColumn("t", T.analyze(F.col("sentence"), F.col("lang")))
-        proof = cut.join(wanted, "section_id").where(T.contains_phrase(F.col("t"), F.col("p"))).groupBy("pair", "step").agg(F.min(F.struct("chunk", "sentence_pos", "sentence")).alias("s"))
+        linked = cut.join(wanted, "section_id").where(T.contains_phrase(F.col("t"), F.col("p"))).select("pair", "step", "chunk", "sentence_pos", "sentence")
+        if self.vectors is None:
+            linked = linked.withColumn("cos", F.lit(0.0))
+        else:  # the sentence that is nearest to "from relation to"
+            label = lambda end: self.nodes.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+            stated = steps.where("step < 3").join(label("src"), "src").join(label("dst"), "dst")
+            about = E.embed(stated.select("pair", "step", F.concat_ws(" ", "src_label", "relation", "dst_label").alias("about")), "about", self.embedder, "about_vector")
+            said_so = E.embed(linked.distinct(), "sentence", self.embedder)
+            linked = said_so.join(about, ["pair", "step"]).withColumn("cos", V.dot(F.col("vector"), F.col("about_vector")))
+        proof = linked.groupBy("pair", "step").agg(F.min(F.struct((-F.round("cos", 9)).alias("far"), "chunk", "sentence_pos", "sentence")).alias("s"))
         said = proof.groupBy("pair").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("step", "s.sentence"))), lambda s: s["sentence"])).alias("sentences"))
-        cited = ends.join(home, "x").where("section_id is not null").groupBy("pair").agg(F.sort_array(F.collect_set("section_id")).alias("sections"))
+        said = stored(said, "relation-said")
+        lost = rows.join(said.select(F.col("pair").alias("query")), "query", "left_anti")
+        named = self.naming(stored(lost.select("query", "text", "lang", "a", "b"), "relation-lost"), names)
+        cited = ends.join(home, "x").where("section_id is not null").select("pair", "section_id")
+        cited = cited.unionByName(named.select(F.col("query").alias("pair"), F.explode("sections").alias("section_id")))
+        cited = cited.groupBy("pair").agg(F.sort_array(F.collect_set("section_id")).alias("sections"))
+        said = said.unionByName(named.select(F.col("query").alias("pair"), "sentences"))
         out = pairs.select("pair").join(paths, "pair", "left").join(said, "pair", "left").join(cited, "pair", "left")
         return out.select(F.col("pair").alias("query"), F.size(F.coalesce("path", F.array().cast("array<long>"))).alias("steps"), "sentences", "sections")
 
+    def naming(self, rows: DataFrame, names: DataFrame) -> DataFrame:
+        """(query, sentences, sections) for rows (query, text, lang, a, b): the best sentence naming both concepts, else one per concept.
+
+        ``names`` is (id, p), the terms of every label and alias.
+        """
+        label = lambda end: self.nodes.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+        wide = rows.join(label("a"), "a").join(label("b"), "b").select("query", F.concat_ws(" ", "text", "a_label", "b_label").alias("text"), "lang")
+        sides = rows.select("query", F.posexplode(F.array("a", "b")).alias("side", "id")).join(names, "id")
+        picked = self.extract(rows.select("query", "text", "lang"), wide, 5, sides.select("query", F.explode("p").alias("term")).distinct(), 30)
+        cut = picked.withColumn("t", T.analyze(F.col("sentence"), F.col("lang")))
+        found = cut.join(sides, "query").where(T.contains_phrase(F.col("t"), F.col("p")))
+        found = found.groupBy("query", "place", "sentence", "section_id").agg(F.collect_set("side").alias("sides"))
+        one = F.struct("place", "sentence", "section_id")
+        best = lambda ok: F.min(F.when(ok, one))
+        per = found.groupBy("query").agg(
+            best(F.size("sides") == 2).alias("both"), best(F.array_contains("sides", 0)).alias("first"), best(F.array_contains("sides", 1)).alias("second")
+        )
+        said = F.when(F.col("both").isNotNull(), F.array("both")).otherwise(F.array_compact(F.array("first", "second")))
+        return per.select("query", F.transform(said, lambda s: s["sentence"]).alias("sentences"), F.array_compact(F.transform(said, lambda s: s["section_id"])).alias("sections"))
+
     def ask(self, queries: DataFrame) -> DataFrame:
         """(query, intent, scope, section_id, kind, text, sections): every question answered, one plan per intent."""
         short = queries.withColumn("text", F.substr("text", F.lit(1), F.lit(router.QUESTION_LENGTH)))
@@ -236,7 +274,7 @@ class Engine:
         if self.nodes is None or self.edges is None:
             parts.append(message(of("relation", "concepts"), "This document doesn't include a concept map."))
         else:
-            two = of("relation").select("query", F.get("concepts", F.lit(0)).alias("a"), F.get("concepts", F.lit(1)).alias("b"))
+            two = of("relation").join(short.select("query", "text", "lang"), "query").select("query", "text", "lang", F.get("concepts", F.lit(0)).alias("a"), F.get("concepts", F.lit(1)).alias("b"))
             parts.append(self.relation(two).select("query", F.lit("relation").alias("kind"), F.array_join("sentences", " ").alias("text"), "sections"))
             focus = of("concepts").select("query", F.get("concepts", F.lit(0)).alias("node"), "section_id")
             near = G.neighbors(self.edges, focus.where("node is not null").select("node").distinct()).select("node", "edge_idx", "relation", "other")

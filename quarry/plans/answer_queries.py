@@ -11,6 +11,7 @@ from quarry.operators import answers as A
 from quarry.operators import document as D
 from quarry.operators import graph as G
 from quarry.operators import retrieval as R
+from quarry.operators.tables import stored
 from quarry.plans import base as X
 from quarry.plans import graph_queries as Q
 from quarry.plans import retrieval_queries as S
@@ -352,10 +353,10 @@ def evidence_sentences(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("node"), F.col("c_custkey").alias("pos"), s.alias("sentence"))
 
 
-def evidence(spark: SparkSession, d: str, steps: DataFrame) -> DataFrame:
-    """Per step (edge_idx, src, dst): the first sentence of either end's section that names the other end."""
+def evidence(spark: SparkSession, d: str, steps: DataFrame, sents: DataFrame) -> DataFrame:
+    """Per step (edge_idx, src, dst): the first of the sentences (node, pos, sentence) of either end that names the other end."""
     named = Q.nodes(spark, d).select("id", T.analyze(F.col("label")).alias("p"))
-    sents = evidence_sentences(spark, d).withColumn("t", T.analyze(F.col("sentence")))
+    sents = sents.withColumn("t", T.analyze(F.col("sentence")))
     ends = steps.select("edge_idx", F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(steps.select("edge_idx", F.col("dst").alias("node"), F.col("src").alias("other")))
     cand = sents.join(ends, "node").join(named, F.col("other") == F.col("id")).where(T.contains_phrase(F.col("t"), F.col("p")))
     return cand.groupBy("edge_idx").agg(F.min(F.struct("pos", "sentence")).alias("best")).select("edge_idx", F.col("best.sentence").alias("sentence"))
@@ -363,19 +364,53 @@ def evidence(spark: SparkSession, d: str, steps: DataFrame) -> DataFrame:
 
 @query(f"WITH {EVIDENCE_CTE} SELECT edge_idx, arg_min(sentence, pos) AS sentence FROM (SELECT edge_idx, et.* FROM edges e JOIN et ON et.node = e.src JOIN ep ON ep.id = e.dst AND contains(et.t, ep.p) WHERE e.relation = 'is part of' UNION ALL SELECT edge_idx, et.* FROM edges e JOIN et ON et.node = e.dst JOIN ep ON ep.id = e.src AND contains(et.t, ep.p) WHERE e.relation = 'is part of') GROUP BY edge_idx")
 def step_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return evidence(spark, d, Q.edges(spark, d).where("relation = 'is part of'"))
+    return evidence(spark, d, Q.edges(spark, d).where("relation = 'is part of'"), evidence_sentences(spark, d))
+
+
+def trade_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation's section text, whole: a sentence per supplier and per customer, by name."""
+    region = F.broadcast(X.table(spark, d, "region"))
+    nation = F.broadcast(X.table(spark, d, "nation").join(region, F.col("r_regionkey") == F.col("n_regionkey")))
+
+    def part(table: str, base: int, prefix: str, does: str) -> DataFrame:
+        rows = X.table(spark, d, table).join(nation, F.col(f"{prefix}_nationkey") == F.col("n_nationkey"))
+        s = F.concat(F.col(f"{prefix}_name"), F.lit(" of "), F.col("n_name"), F.lit(" in "), F.col("r_name"), F.lit(f" {does} here."))
+        key = F.col("s_suppkey" if prefix == "s" else "c_custkey").cast("long")
+        return rows.select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"), (key + base).alias("pos"), s.alias("sentence"), F.col("r_name").alias("section_id"))
+
+    return part("supplier", 0, "s", "sells").unionByName(part("customer", 1_000_000_000, "c", "buys"))
 
 
 @query()
 def relation_answer(spark: SparkSession, d: str) -> DataFrame:
-    """How a supplier and a customer connect: path length, evidence for the first three steps, cited sections."""
-    e, p = Q.edges(spark, d), Q.pairs(spark, d)
-    paths = G.shortest_paths(e, p, 4).persist()
+    """How a supplier and a customer connect: path length, evidence for the first three steps, cited sections.
+
+    Each sentence is a chunk; pairs without a path or a stated link get the best sentences that name them.
+    """
+    from quarry.operators.engine import Engine
+
+    e, p, nodes = Q.edges(spark, d), Q.pairs(spark, d), Q.nodes(spark, d)
+    sents = trade_sentences(spark, d)
+    paths = stored(G.shortest_paths(e, p), "relation-paths")
     steps = paths.select("pair", F.posexplode("path").alias("step", "edge_idx")).join(e, "edge_idx")
-    proof = evidence(spark, d, e)
-    found = steps.where("step < 3").join(proof, "edge_idx").groupBy("pair").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("step", "sentence"))), lambda s: s["sentence"])).alias("sentences"))
-    cited = steps.join(Q.nodes(spark, d), (F.col("src") == F.col("id")) | (F.col("dst") == F.col("id"))).where("section_id is not null").groupBy("pair").agg(F.sort_array(F.collect_set("section_id")).alias("sections"))
-    return paths.join(found, "pair", "left").join(cited, "pair", "left").select("pair", F.size("path").cast("long").alias("steps"), F.array_join("sentences", " | ").alias("sentences"), F.array_join("sections", ",").alias("sections"))
+    proof = evidence(spark, d, steps.where("step < 3").select("edge_idx", "src", "dst").distinct(), sents)
+    said = steps.where("step < 3").join(proof, "edge_idx").groupBy("pair").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("step", "sentence"))), lambda s: s["sentence"])).alias("sentences"))
+    said = stored(said, "relation-said")
+    label = lambda end: nodes.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+    text = F.concat(F.lit("How is "), F.col("a_label"), F.lit(" related to "), F.col("b_label"), F.lit("?"))
+    lost = p.join(said, "pair", "left_anti").join(label("a"), "a").join(label("b"), "b").select(F.col("pair").alias("query"), text.alias("text"), F.lit("en").alias("lang"), "a", "b")
+    empty = F.array().cast("array<string>")
+    chunks = sents.select(F.col("pos").alias("chunk"), "section_id", F.lit("en").alias("lang"), empty.alias("heading_path"), F.col("sentence").alias("text"), F.array(F.lit("b0")).alias("blocks"))
+    named_nodes = nodes.withColumn("aliases", empty)
+    engine = Engine(chunks, chunks.select("section_id", F.col("section_id").alias("title")).distinct(), nodes=named_nodes, edges=e)
+    named = stored(engine.naming(stored(lost, "relation-lost"), nodes.select("id", T.analyze(F.col("label")).alias("p"))), "relation-named")
+    cited = steps.join(nodes, (F.col("src") == F.col("id")) | (F.col("dst") == F.col("id"))).where("section_id is not null").select("pair", "section_id")
+    cited = cited.unionByName(named.select(F.col("query").alias("pair"), F.explode("sections").alias("section_id")))
+    cited = cited.groupBy("pair").agg(F.sort_array(F.collect_set("section_id")).alias("sections"))
+    said = said.unionByName(named.select(F.col("query").alias("pair"), "sentences"))
+    out = p.select("pair").join(paths, "pair", "left").join(said, "pair", "left").join(cited, "pair", "left")
+    steps_n = F.size(F.coalesce("path", F.array().cast("array<long>"))).cast("long")
+    return out.select("pair", steps_n.alias("steps"), F.array_join("sentences", " | ").alias("sentences"), F.array_join("sections", ",").alias("sections"))
 
 
 @query()

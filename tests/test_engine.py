@@ -86,3 +86,36 @@ def test_search_and_suggestions(spark, parts):
     hit = engine.search(asked).orderBy("rank").first()
     assert hit["section_id"] == "food" and "protein" in hit["snippet"]
     assert [r["question"] for r in engine.suggestions().collect()] == ["Why do cats purr?"]
+
+
+@pytest.mark.parametrize("vectors", [False, True])
+def test_relation_without_a_path_or_a_stated_link(spark, parts, vectors):
+    sections, chunks = parts[:2]
+    c = spark.createDataFrame
+    nodes = c([("mouse", "mouse", ["mice"], None), ("night", "night", [], None), ("fish", "fish", [], None), ("stick", "stick", [], None), ("moon", "moon", [], None)], "id string, label string, aliases array<string>, section_id string")
+    edges = c([(0, "fish", "stick", "is unlike")], "edge_idx long, src string, dst string, relation string")
+    engine = Engine(chunks, sections, nodes=nodes, edges=edges, embedder=embedder() if vectors else None)
+    asked = [(1, "mouse", "night"), (2, "fish", "stick"), (3, "fish", "moon"), (4, "moon", "moon")]
+    rows = c([(q, f"How is {a} related to {b}?", "en", a, b) for q, a, b in asked], "query long, text string, lang string, a string, b string")
+    got = {r["query"]: r for r in engine.relation(rows).collect()}
+    assert got[1]["sentences"] == ["They hunt mice at night, quietly and alone."] and got[1]["steps"] == 0 and got[1]["sections"] == ["cats"]
+    assert got[2]["steps"] == 1 and len(got[2]["sentences"]) == 2 and "ish" in got[2]["sentences"][0] and "sticks" in got[2]["sentences"][1]
+    assert len(got[3]["sentences"]) == 1 and "ish" in got[3]["sentences"][0] and not got[4]["sentences"]
+
+
+def test_relation_answer_keeps_every_pair(spark, tmp_path):
+    from quarry.plans import answer_queries
+
+    c = spark.createDataFrame
+    tables = {
+        "region": c([(0, "AFRICA"), (1, "ASIA")], "r_regionkey int, r_name string"),
+        "nation": c([(0, "KENYA", 0), (1, "JAPAN", 1), (2, "EGYPT", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": c([(1, "Supplier#1", 0), (2, "Supplier#2", 0)], "s_suppkey long, s_name string, s_nationkey int"),
+        "customer": c([(1, "Customer#1", 1), (2, "Customer#2", 2), (3, "Customer#3", 1)], "c_custkey long, c_name string, c_nationkey int"),
+    }
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["pair"]: r for r in answer_queries.relation_answer(spark, str(tmp_path)).collect()}
+    assert got[1]["steps"] == 0 and got[1]["sentences"] == "Supplier#1 of KENYA in AFRICA sells here. | Customer#1 of JAPAN in ASIA buys here."
+    assert got[1]["sections"] == "AFRICA,ASIA"
+    assert got[2]["steps"] == 4 and got[2]["sentences"].startswith("Supplier#2 of KENYA in AFRICA sells here.") and got[2]["sections"] == "AFRICA"
