@@ -29,8 +29,8 @@ def section_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return adjacency(edges).join(inside, "node").select("section_id", "edge_idx").distinct().join(edges, "edge_idx").select("section_id", "edge_idx", "src", "dst", "relation")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFrame:
-    """(pair, path) for pairs (pair, a, b) that are connected within ``depth`` steps; path is the list of edge indexes.
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, path) for pairs (pair, a, b) that are connected; path is the list of edge indexes.
 
     Breadth first with one row per pair and node: among shortest paths the one with the least edge list, which is the one
     that a queue over edges in order finds. Nodes with one neighbour are entered only if they are the target, so large
@@ -42,7 +42,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFr
     # one table per step: plans stay small, and the walk ends when nothing new is reached
     front = stored(pairs.select("pair", "b", F.col("a").alias("at"), F.array().cast("array<long>").alias("path")), "graph-front")
     fronts = [front]
-    for _ in range(depth):
+    while True:
         walked = front.where("at <> b").join(steps, F.col("at") == F.col("node")).where("through or other = b")
         nearest = walked.groupBy("pair", "b", F.col("other").alias("at")).agg(F.min(F.concat("path", F.array("edge_idx"))).alias("path"))
         seen = fronts[0].select("pair", "at")

@@ -100,7 +100,7 @@ paths AS (SELECT pair, arg_min(path, (len(path), path)) AS path FROM walk WHERE
 
 @query(f"WITH RECURSIVE {PATH_CTE} SELECT pair, len(path)::BIGINT AS steps, array_to_string(list_transform(path, lambda e: e::VARCHAR), ',') AS path FROM paths")
 def graph_shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    found = G.shortest_paths(edges(spark, d), pairs(spark, d), 4)
+    found = G.shortest_paths(edges(spark, d), pairs(spark, d))
     return found.select("pair", F.size("path").cast("long").alias("steps"), F.array_join(F.transform("path", lambda e: e.cast("string")), ",").alias("path"))
 
 
@@ -112,7 +112,7 @@ def graph_shortest_path(spark: SparkSession, d: str) -> DataFrame:
 def graph_path_steps(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
     p = pairs(spark, d)
-    return G.path_steps(G.shortest_paths(e, p, 4), p, e).withColumn("step", F.col("step").cast("long"))
+    return G.path_steps(G.shortest_paths(e, p), p, e).withColumn("step", F.col("step").cast("long"))
 
 
 # --- router ---------------------------------------------------------------------------------------------------------

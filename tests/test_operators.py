@@ -132,6 +132,12 @@ def test_shortest_path_takes_the_first_edges(spark):
     assert len(loops) == 1
 
 
+def test_shortest_path_of_ten_edges(spark):
+    edges = spark.createDataFrame([(i, f"n{i}", f"n{i + 1}", "x") for i in range(10)], "edge_idx long, src string, dst string, relation string")
+    pairs = spark.createDataFrame([(1, "n0", "n10"), (2, "n0", "far")], "pair long, a string, b string")
+    assert {r["pair"]: r["path"] for r in G.shortest_paths(edges, pairs).collect()} == {1: list(range(10))}
+
+
 # Routing vectors.
 ROUTES = {
     "Quiz me on attention": "quiz", "Explain this simply": "simple", "key points of this section": "keyPoints", "Summarize this section": "summary",
