@@ -165,12 +165,21 @@ def bert_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT i.item_id, doc_id FROM benchmark i JOIN documents x ON contains(x.text, i.text)")
 def exact_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that quote an item whole: candidates share its longest word, then the text is compared."""
-    longest = F.element_at(F.sort_array(F.transform(F.array_distinct(F.split("text", r"\s+")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), 1)["w"]
-    items = X.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), longest.alias("w"))
+    """Documents that quote an item whole: candidates share its longest inner word, then the text is compared.
+
+    Signs may be glued to an item's first and last word; the inner ones are whole wherever it stands. Items without an
+    inner word are compared with every text.
+    """
+    cut = F.split("text", r"\s+")
+    inner = F.array_distinct(F.slice(cut, 2, F.greatest(F.size(cut) - 2, F.lit(0))))
+    longest = F.try_element_at(F.sort_array(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), F.lit(1))["w"]
+    stated = X.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), longest.alias("w"))
+    items, short = stated.where("w is not null"), stated.where("w is null and item is not null").select("item_id", "item")
     words = X.table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
     pairs = words.join(items, "w").select("doc_id", "item_id", "item").distinct()
-    return pairs.join(X.table(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+    texts = X.table(spark, d, "documents").select("doc_id", "text")
+    found = pairs.join(texts, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+    return found.unionByName(texts.join(short, F.contains("text", "item")).select("item_id", "doc_id"))
 
 
 def _html_text(htmls: pd.Series) -> pd.Series:

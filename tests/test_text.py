@@ -68,3 +68,14 @@ def test_wordpiece_has_no_spaces_or_marks(text):
     words = t.pre_tokenize(t.normalize(text))
     assert all(w and not any(c.isspace() for c in w) for w in words)
     assert t.encode(text) == [0] * len(words)
+
+
+def test_quotes_with_signs_glued_to_them(spark, tmp_path):
+    from quarry.plans import text_queries
+
+    items = [(1, "extraordinary things happen"), (2, "we met yesterday"), (3, "word"), (4, "two words"), (5, "not there")]
+    docs = [(1, 'It says "extraordinary things happen" here.'), (2, "Then (we met yesterday), he said."), (3, "A last word. And two words."), (4, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["item_id"], r["doc_id"]) for r in text_queries.exact_quotes(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 3)}
