@@ -34,6 +34,8 @@ IMPLIED = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
+#: Any other start tag, or text, ends an open head.
+HEAD_CONTENT = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 P_SCOPE = frozenset("article aside blockquote body button caption div fieldset figure footer form header html li main nav section table td th dd".split())
 
 
@@ -64,6 +66,17 @@ def parse(page: str) -> list[Node]:
     root = Node("html", frozenset(), None, 0)
     nodes, stack = [root], [("html", root)]
     links = skip = place = at = 0
+    last_ends: dict[str, int] = {}
+    loose: list[tuple[int, int]] = []  # (place in the stack, skip) of unread elements that nothing closes
+
+    def closed(tag: str) -> bool:
+        """Whether an end tag follows; of buttons and selects, which do not nest, before the next one starts."""
+        if tag in ("button", "select"):
+            follows = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(page, at)
+            return bool(follows and follows[1])
+        if tag not in last_ends:
+            last_ends[tag] = max((x.start() for x in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", page, re.I)), default=-1)
+        return last_ends[tag] >= at
 
     def text(piece: str) -> None:
         nonlocal place
@@ -83,11 +96,16 @@ def parse(page: str) -> list[Node]:
                 links -= 1
             elif tag in UNREAD:
                 skip -= 1
+        while loose and loose[-1][0] >= index:
+            loose.pop()
 
     for m in TAG.finditer(page):
         if m.start() < at:
             continue
-        text(page[at : m.start()])
+        between = page[at : m.start()]
+        if stack[-1][0] == "head" and between.strip():
+            close_to(len(stack) - 1)
+        text(between)
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
@@ -103,6 +121,10 @@ def parse(page: str) -> list[Node]:
             if tag not in INLINE:
                 gap()
             continue
+        if stack[-1][0] == "head" and tag not in HEAD_CONTENT:
+            close_to(len(stack) - 1)
+        if loose and loose[-1][1] == skip and (tag in CLOSES_P or tag in ("button", "select", "object")):
+            close_to(loose[-1][0])
         if tag in VOID:
             if tag in ("br", "hr"):
                 gap()
@@ -138,6 +160,8 @@ def parse(page: str) -> list[Node]:
                 at = close.end() if close else len(page)
                 skip -= 1
                 continue
+            if tag != "head" and not closed(tag):
+                loose.append((len(stack), skip))
             stack.append((tag, parent))
             continue
         if tag == "a":
@@ -149,6 +173,8 @@ def parse(page: str) -> list[Node]:
             nodes.append(node)
             parent = node
         stack.append((tag, parent))
+    if stack[-1][0] == "head":
+        close_to(len(stack) - 1)
     text(page[at:])
     return nodes
 

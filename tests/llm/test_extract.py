@@ -55,3 +55,14 @@ def test_boosting_learns_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
     trees = boosting.fit(x[:3000], y[:3000])
     assert ((trees.odds(x[3000:]) > 0) == (y[3000:] > 0)).mean() > 0.95
+
+
+def test_text_after_an_open_head_or_control_is_read():
+    read = lambda html: dom.clean([x for _, x, _ in sorted(t for n in dom.parse(html) for t in n.texts)])
+    assert read("<html><head><title>T</title><meta charset=x><body class=c><p>Some text.</p></body></html>") == "Some text."
+    assert read("<html><head><title>T</title><p>Some text.") == "Some text." == read("<head><title>T</title>Some text.")
+    assert read("<head><script>x</script>Some <b>text.") == "Some text."
+    for tag in ("button", "select", "object"):
+        assert read(f"<div><{tag}>no<p>Some text.</p></div>") == "Some text.", tag
+    assert read("<div><button>no<p>Some</p><button>no</button> text.</div>") == "Some text."
+    assert read("<div><button><div>no</div></button>Some text.</div>") == "Some text."
