@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a randomness test battery on other tokens. Native: DataFrame functions only.
 
-Each token of 20 or more key characters gets an inferred encoding (hex, base32, letters and digits, base64). Three
+Each token of 20 or more key characters gets an inferred encoding (hex, base32, base36, letters and digits, base64). Three
 tests ask whether it looks drawn at random from that alphabet: chi-squared uniformity (Wilson-Hilferty), Wald-Wolfowitz
 runs of digits and letters, and lag-1 serial correlation of the symbols. A token that no test rejects is weighed against
 the other hypothesis, that it is ordinary text: the Chernoff bound of seeing so many changes of character class in so
@@ -65,7 +65,8 @@ def _tests(token: Column) -> Column:
     n = F.length(token).cast("double")
     size = (
         F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16.0)
-        .when(token.rlike("^[A-Z2-7]+=*$"), 32.0)
+        .when(token.rlike("^([A-Z2-7]+|[a-z2-7]+)=*$"), 32.0)
+        .when(token.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), 36.0)
         .when(token.rlike("^[A-Za-z0-9]+$"), 62.0)
         .otherwise(65.0)
     )

@@ -202,3 +202,17 @@ def test_keep_good(spark, marked):
 def test_fixture_has_copies():
     texts = [t for _, t in corpus(9, 120)]
     assert len(set(texts)) < len(texts) and sha("") != sha("x")
+
+
+def test_random_tokens_of_every_alphabet_and_length(spark):
+    r = random.Random(8)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"hex": "0123456789ABCDEF", "base32": upper + "234567", "lower base32": lower + "234567", "lower base36": lower + "0123456789", "upper base36": upper + "0123456789", "base62": upper + lower + "0123456789"}
+    tokens = [(name, n, "".join(r.choice(letters) for _ in range(n))) for name, letters in alphabets.items() for n in (32, 64, 128) for _ in range(20)]
+    df = spark.createDataFrame([(i, f"see {t} there", "s", "x", 1) for i, (_, _, t) in enumerate(tokens)], DOCS)
+    found = collections.Counter()
+    for x in secrets.scan(df).collect():
+        found[tokens[x["doc_id"]][:2]] += bool(x["base"] or x["more"])
+    # short base32 changes class rarely, so the text hypothesis keeps some of it
+    for n, least in ((32, 8), (64, 14), (128, 18)):
+        assert all(found[name, n] >= least for name in alphabets), found
