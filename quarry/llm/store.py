@@ -1,34 +1,13 @@
-"""Tables that cut lineage, written to the folder that all executors share."""
+"""What the operators of this package share: stored tables, batch sizes, ids."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from quarry.operators.tables import clear, release, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context_dir = spark.sparkContext.getCheckpointDir()
-    if context_dir:
-        return context_dir.rstrip("/")
-    base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(base, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-    return f"file://{base}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["clear", "content_key", "integer_id", "parallelism", "release", "shared_dir", "small_batches", "stored"]
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -42,6 +21,23 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small, on both sides of the pipe; a session that asks for less keeps its value."""
+    """Keep Arrow batches of whole texts small, on both sides of the pipe, for the rest of the session.
+
+    Results are lazy, so the setting has to stay; a session that asks for less keeps its value.
+    """
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
         spark.conf.set(_BATCH, BATCH_ROWS)
+
+
+def integer_id(df: DataFrame, name: str) -> Column:
+    """The id column as long. These operators order and pack ids, so other types are refused."""
+    kind = dict(df.dtypes)[name]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} is {kind}; this operator takes integer ids")
+    return F.col(name).cast("long")
+
+
+def content_key(*columns: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that stand for the content of ``columns`` in joins; null differs from empty."""
+    known = F.concat(*[F.coalesce(c.isNull().cast("string"), F.lit("")) for c in columns])
+    return F.xxhash64(F.lit(1), known, *columns), F.xxhash64(F.lit(2), known, *columns)
