@@ -2,13 +2,17 @@
 
 Benchmark items and documents are cut into words; each run of ``gram`` words is hashed, and of every ``window`` runs the
 least hash is kept, so any ``gram + window - 1`` words that both sides share leave one fingerprint in common. Items shorter
-than that are one fingerprint of their own length. A fixed-size Bloom filter of the benchmark's fingerprints thins
-the documents' before the join; after it, each hit is extended to both sides word by word, and counts if it reaches
-the guaranteed length (or the whole of a short item).
+than that are one fingerprint of their own length. A Bloom filter of the benchmark's fingerprints, sized by their
+number, thins the documents' before the join; after it, each hit is extended to both sides word by word, and counts if
+it reaches the guaranteed length (or the whole of a short item).
 
-Cases: null text has no words and is never hit; an item without words matches nothing; repeated rows and equal texts
-are judged once and reported each; an empty benchmark or table works; extra columns are ignored. A null item id is left
-out of the list of ids but its words are hit.
+An item's words travel once per text that shares a fingerprint with it, never once per fingerprint; a text that meets very
+many items meets them in blocks of ``BLOCK_WORDS`` item words, whose spans are united afterwards.
+
+Texts and items are told apart by two 64-bit hashes of their content. Cases: null text has no words and is never hit; an
+item without words matches nothing; repeated rows and equal texts are judged once and reported each; null and shared ids
+do not matter, since rows are judged by their text; an empty benchmark or table works; extra columns are ignored. A null
+item id is left out of the list of ids but its words are hit.
 """
 
 from __future__ import annotations
@@ -17,83 +21,95 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.store import small_batches, stored
+from quarry.llm.store import content_key, release, small_batches, stored
 
 #: Consecutive words that a shared span has at least.
 SPAN = 10
-#: Words of a fingerprint's run; the winnowing window follows: SPAN - GRAM + 1 runs.
-GRAM = 4
-#: Bits of the Bloom filter (1 MB, whatever the benchmark's size).
-BLOOM_BITS = 1 << 23
+#: Words of a fingerprint's run; the winnowing window follows: SPAN - GRAM + 1 runs. Long runs are rarely shared by chance.
+GRAM = 7
+#: Bits of the Bloom filter per fingerprint, and in all at least and at most; beyond that it only lets more through.
+BLOOM_RATE, BLOOM_LEAST, BLOOM_MOST = 16, 1 << 20, 1 << 27
+#: Words that one hit is extended by to either side; where more is shared, the next hit goes on.
+EXTEND = 256
+#: Item words that one text is compared with at a time.
+BLOCK_WORDS = 1 << 20
 
 
 def _short(hashes: np.ndarray, n: int) -> np.ndarray:
     return W.mix(W.grams(hashes, n) ^ np.uint64(n * int(W.LENGTH) % (1 << 64)))
 
 
+def _first_contexts(hashes: np.ndarray, spots: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """The first fingerprint of each surrounding: every window that holds it lies within, so others like it add nothing."""
+    reach = span - gram
+    edge = [np.full(reach, x, dtype=np.uint64) for x in (W.GRAM, W.LENGTH)]
+    around = W.grams(np.concatenate([edge[0], hashes, edge[1]]), gram + 2 * reach)[spots]
+    return np.sort(np.unique(around, return_index=True)[1])
+
+
 def _item_prints(span: int, gram: int):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(item_id, text) to (item_id, hashes of its words, its fingerprints)."""
         for batch in batches:
-            rows, prints_, offsets, lengths, blobs = [], [], [], [], []
-            for row, _, data, at in W.steps(batch.column(1)):
+            blobs, found = [], []
+            for _, _, data, at in W.steps(batch.column(1)):
                 words = W.split(data, at, W.ALNUM, lower=True)
                 hashes = words.hashes()
                 spots, values = W.winnow(words, hashes, span, gram)
-                for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
+                for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+                    blobs.append(hashes[a:b].tobytes())
                     if 0 < b - a < span:
-                        found = [(0, int(_short(hashes[a:b], int(b - a))[0]))]
+                        found.append([{"print": int(W.signed(_short(hashes[a:b], int(b - a)))[0]), "spot": 0}])
                     else:
                         own = slice(*np.searchsorted(spots, [a, b]))
-                        found = [(int(s - a), int(v)) for s, v in zip(spots[own], values[own], strict=True)]
-                    for spot, value in found:
-                        rows.append(row + i)
-                        prints_.append(value)
-                        offsets.append(spot)
-                        lengths.append(int(b - a))
-                        blobs.append(hashes[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(W.signed(np.array(prints_, dtype=np.uint64))),
-                    pa.array(offsets, pa.int32()),
-                    pa.array(lengths, pa.int32()),
-                    pa.array(blobs, pa.binary()),
-                ],
-                ["item_id", "print", "spot", "n", "hashes"],
-            )
+                        new = _first_contexts(hashes[a:b], spots[own] - a, span, gram)
+                        found.append([{"print": int(v), "spot": int(s)} for s, v in zip((spots[own] - a)[new], W.signed(values[own])[new], strict=True)])
+            kind = pa.list_(pa.struct([("print", pa.int64()), ("spot", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), pa.array(found, kind)], ["item_id", "hashes", "prints"])
 
     return prints
 
 
-def _bits(prints: np.ndarray) -> np.ndarray:
-    """Two bit positions per fingerprint."""
+def _spots(prints: np.ndarray, bits: int) -> np.ndarray:
+    """Two bit positions per fingerprint in a filter of ``bits`` bits (a power of two)."""
     u = prints.view(np.uint64)
-    return np.stack([u & np.uint64(BLOOM_BITS - 1), (u >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)]).astype(np.int64)
+    return np.stack([u & np.uint64(bits - 1), (u >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
 
 
-def _bloom_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BLOOM_BITS, dtype=bool)
-    for batch in batches:
-        bits[_bits(batch.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+def _bloom_part(bits: int):
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            own[_spots(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], ["bits"])
+
+    return part
 
 
 def bloom(prints: DataFrame) -> bytes:
-    """Bloom filter of the column ``print``: a fixed number of parts of fixed size reach the driver."""
-    parts = prints.select("print").distinct().coalesce(4).mapInArrow(_bloom_part, "bits binary").collect()
-    out = np.zeros(BLOOM_BITS // 8, dtype=np.uint8)
-    for r in parts:
+    """Bloom filter of the column ``print``: four parts of ``BLOOM_MOST`` / 8 bytes at most reach the driver."""
+    known = prints.select("print").distinct()
+    bits = 1 << int(np.clip(known.count() * BLOOM_RATE, BLOOM_LEAST, BLOOM_MOST) - 1).bit_length()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in known.coalesce(4).mapInArrow(_bloom_part(bits), "bits binary").collect():
         out |= np.frombuffer(r["bits"], dtype=np.uint8)
     return out.tobytes()
 
 
+def _known(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Which fingerprints the filter may hold."""
+    one, two = _spots(prints, 8 * len(bits))
+    bit = lambda at: (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+    return (bit(one) & bit(two)).astype(bool)
+
+
 def _doc_prints(span: int, gram: int, short: list[int], bits: bytes):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
+        known = np.frombuffer(bits, dtype=np.uint8)
         for batch in batches:
             counts, hits = [], []
             for _, _, data, at in W.steps(batch.column(1)):
@@ -103,8 +119,7 @@ def _doc_prints(span: int, gram: int, short: list[int], bits: bytes):
                 for n in short:
                     here = np.flatnonzero(words.left() >= n)
                     spots, values = np.append(spots, here), np.append(values, _short(hashes, n)[here])
-                one, two = _bits(values)
-                ok = known[one] & known[two]
+                ok = _known(known, values)
                 spots, values = spots[ok], values[ok]
                 order = np.argsort(spots, kind="stable")
                 spots, values = spots[order], values[order]
@@ -114,55 +129,122 @@ def _doc_prints(span: int, gram: int, short: list[int], bits: bytes):
                     own = slice(cut[i], cut[i + 1])
                     hits.append([{"print": int(v), "at": int(s - a)} for s, v in zip(spots[own], W.signed(values[own]), strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.concatenate([np.zeros(0, np.int64), *counts])), pa.array(hits, pa.list_(pa.struct([("print", pa.int64()), ("at", pa.int64())])))],
-                ["id", "text_key", "n_words", "hits"],
+                [batch.column(0), *batch.columns[2:], pa.array(np.concatenate([np.zeros(0, np.int64), *counts])), pa.array(hits, pa.list_(pa.struct([("print", pa.int64()), ("at", pa.int64())])))],
+                ["id", "t1", "t2", "n_words", "hits"],
             )
 
     return prints
 
 
 def _extend(span: int):
-    """Rows (text_key, text, hits of (item_id, spot, n, at, hashes)): hit words and items of each text."""
+    """Rows (t1, t2, text, items of (k1, k2, hashes, hits of (at, spot))): spans of each text and the items found in it."""
+
+    def intervals(item: np.ndarray, doc: np.ndarray, hits: list[dict]) -> Iterator[tuple[int, int]]:
+        done: dict[int, int] = {}  # per diagonal, where the last extension ended
+        for h in sorted(hits, key=lambda h: h["at"]):
+            shift = h["at"] - h["spot"]
+            if done.get(shift, -1) > h["at"]:
+                continue
+            low, high = max(0, -shift, h["spot"] - EXTEND), min(len(item), len(doc) - shift, h["spot"] + EXTEND)
+            wrong = np.flatnonzero(item[low:high] != doc[low + shift : high + shift])
+            spot = h["spot"] - low
+            cut = np.searchsorted(wrong, spot)
+            if not 0 <= spot < high - low or (cut < len(wrong) and wrong[cut] == spot):
+                continue
+            start = wrong[cut - 1] + 1 if cut else 0
+            end = wrong[cut] if cut < len(wrong) else high - low
+            if end - start >= min(span, len(item)):
+                yield int(start + low + shift), int(end + low + shift)
+            done[shift] = int(end + low + shift)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, n_hit, items = [], [], []
-            every = batch.column(2).to_pylist()
-            for row, _, data, at in W.steps(batch.column(1)):
+            spans, found = [], []
+            for row, _, data, at in W.steps(batch.column(2)):
                 words = W.split(data, at, W.ALNUM, lower=True)
                 hashes = words.hashes()
                 for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-                    doc, hit, found = hashes[a:b], np.zeros(b - a, dtype=bool), set()
-                    done: dict[tuple, int] = {}
-                    for h in sorted(every[row + i], key=lambda h: h["at"]):
-                        diagonal = (h["item_id"], h["at"] - h["spot"], h["n"], h["hashes"])
-                        if done.get(diagonal, -1) > h["at"]:  # inside a span that has been extended
-                            continue
-                        item = np.frombuffer(h["hashes"], dtype=np.uint64)
-                        shift = h["at"] - h["spot"]
-                        low, high = max(0, -shift), min(len(item), len(doc) - shift)
-                        same = item[low:high] == doc[low + shift : high + shift]
-                        spot = h["spot"] - low
-                        if not 0 <= spot < len(same) or not same[spot]:
-                            continue
-                        wrong = np.flatnonzero(~same)
-                        cut = np.searchsorted(wrong, spot)
-                        start = wrong[cut - 1] + 1 if cut else 0
-                        end = wrong[cut] if cut < len(wrong) else len(same)
-                        if end - start >= min(span, len(item)):
-                            hit[start + low + shift : end + low + shift] = True
-                            found.add(h["item_id"])
-                            done[diagonal] = int(end + low + shift)
-                    keys.append(row + i)
-                    n_hit.append(int(hit.sum()))
-                    items.append(sorted({str(x) for x in found if x is not None}))
+                    own, keys = [], []
+                    for item in batch.column(3)[row + i].as_py():
+                        here = list(intervals(np.frombuffer(item["hashes"], dtype=np.uint64), hashes[a:b], item["hits"]))
+                        if here:
+                            own += [{"start": s, "end": e} for s, e in here]
+                            keys.append({"k1": item["k1"], "k2": item["k2"]})
+                    spans.append(own)
+                    found.append(keys)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["hit_key", "n_hit", "items"]
+                [
+                    batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array(found, pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64())]))),
+                ],
+                ["t1", "t2", "spans", "keys"],
             )
 
     return extend
 
 
+def _covered(spans: Column) -> Column:
+    """How many words some span covers."""
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc: Column, s: Column) -> Column:
+        more = F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], acc["end"]))
+        return F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + more).alias("n"))
+
+    return F.aggregate(F.sort_array(spans), zero, step, lambda acc: acc["n"])
+
+
+TEXT, ITEM = ["t1", "t2"], ["k1", "k2"]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, t1, t2); the last two stand for the text."""
+    t1, t2 = content_key(F.col(text_col))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), t1.alias("t1"), t2.alias("t2"))
+
+
+def _judged(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(id, t1, t2, n_words, hits) per row, and (t1, t2, n_hit, items) per text that a span is found in."""
+    small_batches(texts.sparkSession)
+    raw = stored(
+        benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).mapInArrow(
+            _item_prints(span, gram), "item_id string, hashes binary, prints array<struct<print:long,spot:int>>"
+        ),
+        "bench-items",
+    ).where("octet_length(hashes) > 0")
+    k1, k2 = content_key(F.col("hashes"))
+    raw = raw.withColumns({"k1": k1, "k2": k2})
+    items = stored(raw.groupBy(*ITEM).agg(F.first("hashes").alias("hashes"), F.first("prints").alias("prints")), "bench-texts")
+    grams = stored(items.select(*ITEM, F.inline("prints")), "bench-prints")
+    lengths = items.select((F.octet_length("hashes") / 8).cast("int").alias("n")).where(F.col("n") < span).distinct()
+    short = sorted(r["n"] for r in lengths.collect())  # below ``span`` values
+    kind = dict(texts.dtypes)["id"]
+    prints = stored(
+        texts.mapInArrow(_doc_prints(span, gram, short, bloom(grams)), f"id {kind}, t1 long, t2 long, n_words long, hits array<struct<print:long,at:long>>"),
+        "doc-prints",
+    )
+    hits = prints.where(F.size("hits") > 0).groupBy(*TEXT).agg(F.first("hits").alias("hits")).select(*TEXT, F.inline("hits"))
+    met = hits.join(grams, "print").groupBy(*TEXT, *ITEM).agg(F.collect_set(F.struct("at", "spot")).alias("hits"))
+    met = stored(met, "doc-items")
+    known = met.join(items.select(*ITEM, "hashes"), ITEM)
+    words = known.groupBy(*TEXT).agg(F.ceil(F.sum(F.octet_length("hashes")) / (8 * BLOCK_WORDS)).alias("blocks"))
+    many = stored(words.where("blocks > 1"), "doc-blocks")  # hardly any text
+    block = F.pmod(F.col("k1"), F.coalesce("blocks", F.lit(1)))
+    grouped = known.join(many, TEXT, "left").groupBy(*TEXT, block.alias("block")).agg(F.collect_list(F.struct(*ITEM, "hashes", "hits")).alias("items"))
+    own = texts.join(met.select(*TEXT).distinct(), TEXT, "left_semi").groupBy(*TEXT).agg(F.first("text").alias("text"))
+    spans = stored(
+        grouped.join(own, TEXT).select(*TEXT, "text", "items").mapInArrow(
+            _extend(span), "t1 long, t2 long, spans array<struct<start:long,end:long>>, keys array<struct<k1:long,k2:long>>"
+        ).where(F.size("spans") > 0),
+        "doc-spans",
+    )
+    ids = spans.select(*TEXT, F.inline("keys")).join(raw.select(*ITEM, "item_id").distinct(), ITEM).groupBy(*TEXT).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    n_hit = spans.groupBy(*TEXT).agg(_covered(F.flatten(F.collect_list("spans"))).alias("n_hit"))
+    judged = stored(n_hit.join(ids, TEXT), "doc-judged")
+    release(grams, met, many, spans)
+    return prints, judged
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -174,31 +256,8 @@ def contamination(
     gram: int = GRAM,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, items) per row: words inside spans shared with the benchmark, and whose they are."""
-    small_batches(docs.sparkSession)
-    items = stored(
-        benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).mapInArrow(
-            _item_prints(span, gram), "item_id string, print long, spot int, n int, hashes binary"
-        ),
-        "bench-prints",
-    )
-    short = sorted(r["n"] for r in items.where(F.col("n") < span).select("n").distinct().collect())  # below ``span`` values
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
-    kind = dict(texts.dtypes)["id"]
-    prints = stored(
-        texts.mapInArrow(_doc_prints(span, gram, short, bloom(items)), f"id {kind}, text_key long, n_words long, hits array<struct<print:long,at:long>>"),
-        "doc-prints",
-    )
-    hits = prints.where(F.size("hits") > 0).groupBy("text_key").agg(F.first("hits").alias("hits")).select("text_key", F.inline("hits"))
-    joined = hits.join(items, "print")
-    per_text = stored(
-        joined.groupBy("text_key").agg(F.collect_set(F.struct("item_id", "spot", "n", "at", "hashes")).alias("found")), "doc-hits"
-    )
-    wanted = per_text.join(
-        texts.join(per_text.select(F.col("text_key").alias("hit_key")), F.col("text_key") == F.col("hit_key"), "left_semi").groupBy("text_key").agg(F.first("text").alias("text")),
-        "text_key",
-    ).select("text_key", "text", "found")
-    judged = stored(wanted.mapInArrow(_extend(span), "hit_key long, n_hit long, items array<string>"), "doc-spans")
-    return prints.join(judged, F.col("text_key") == F.col("hit_key"), "left").select(
+    prints, judged = _judged(_keyed(docs, id_col, text_col), benchmark, item_col, item_text_col, span, gram)
+    return prints.join(judged, TEXT, "left").select(
         F.col("id").alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -207,7 +266,8 @@ def contamination(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark span; columns unchanged."""
-    bad = contamination(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    bad = stored(bad, "leaky-ids")  # its size is known before the join is planned, so texts need no shuffle if it is small
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of ``docs`` whose own text holds no benchmark span; columns unchanged."""
+    _, judged = _judged(_keyed(docs, id_col, text_col), benchmark, "item_id", "text", SPAN, GRAM)
+    bad = judged.select(F.col("t1").alias("_leak_1"), F.col("t2").alias("_leak_2"))
+    t1, t2 = content_key(docs[text_col])
+    return docs.join(bad, (t1 == bad["_leak_1"]) & (t2 == bad["_leak_2"]), "left_anti")
