@@ -6,15 +6,18 @@ set; every pair (left half-key, right half-key) is the key of one hash table, so
 a table key are candidates and are confirmed on their full sets:
 
 1. Star round: in each table bucket every class is compared with one representative. This links almost all of a group.
-2. Rest round: what is still outside the component that leads its bucket is compared with everything in that component
-   and with the other outsiders, in small blocks. So no pair of one bucket is left out, and no bucket, however
-   large, is expanded into pairs of rows.
+2. Rest round: what is still outside the component that leads its bucket is compared with the bucket's other members, in
+   blocks, so no pair of one bucket is left out and no bucket, however large, is expanded into pairs of rows. Buckets
+   led by the same component are taken together where that is fewer comparisons (a template's tables hold the same
+   members); otherwise each stands alone, so there are never more comparisons than pairs in buckets.
 
 At similarity 0.8 a pair shares no table with probability under 0.0005 (0.9: under 1e-7).
 
-Cases: null or wordless text gives an empty set, linked with nothing; fewer words than a shingle give one shingle, the
-whole sequence; rows that share an id are one document (their links are joined), each keeps its own set size; a row
-with a null id gets a null component and is kept; an empty table gives an empty table; extra columns are ignored.
+Inside, sets are nodes and ids are joined at the end: ids are integers (others raise TypeError). Cases: null or wordless
+text gives an empty set, linked with nothing, not even with other rows of its id; fewer words than a shingle give one
+shingle, the whole sequence; rows that share an id are one document, so the links of all their texts are joined, and each
+row keeps its own set size; a row with a null id gets a null component, is kept, and links nothing; an empty table gives
+an empty table; extra columns are ignored. ``one_of_each`` filters rows and judges each as a document of its own.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
 from quarry.llm.graph import connected_components
-from quarry.llm.store import parallelism, small_batches, stored
+from quarry.llm.store import content_key, integer_id, parallelism, release, small_batches, stored
 
 
 @dataclass(frozen=True)
@@ -98,8 +101,8 @@ def _signer(ngram: int, bands: Bands):
                 pa.array(np.arange(0, both.size + 1, both.shape[1], dtype=np.int32)), pa.array(W.signed(both.ravel()))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(W.signed(sums[:, 0])), pa.array(W.signed(sums[:, 1])), keys],
-                ["id", "n_shingles", "f1", "f2", "half_keys"],
+                [batch.column(0), *batch.columns[2:], pa.array(sizes), pa.array(W.signed(sums[:, 0])), pa.array(W.signed(sums[:, 1])), keys],
+                ["id", "t1", "t2", "n_shingles", "f1", "f2", "half_keys"],
             )
 
     return sign
@@ -109,7 +112,7 @@ def _setter(ngram: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [s.tobytes() for _, s in shingle_sets(batch.column(1), ngram)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, type=pa.binary())], ["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, type=pa.binary())], ["node", "hashes"])
 
     return sets
 
@@ -182,33 +185,34 @@ def _comparer(percent: int):
 def _compare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges between the base and the streamed rows of each group."""
     spark = rows.sparkSession
-    full = rows.join(sets.withColumnRenamed("id", "set_id"), F.col("id") == F.col("set_id")).select(
-        "g", "part", "chunk", "role", "id", "hashes"
-    )
+    full = rows.join(sets, F.col("id") == F.col("node")).select("g", "part", "chunk", "role", "id", "hashes")
     dealt = full.repartition(parallelism(spark), "g", "part", "chunk").sortWithinPartitions("g", "part", "chunk", "role")
     return dealt.mapInArrow(_comparer(percent), "src long, dst long")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    ngram: int = 5,
-    percent: int = 80,
-    bands: Bands = BANDS,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row; documents of similarity ``percent`` / 100 or more are linked."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(
-        texts.mapInArrow(_signer(ngram, bands), "id long, n_shingles long, f1 long, f2 long, half_keys array<long>"), "dedup-signatures"
-    )
-    usable = signed.where("n_shingles > 0 and id is not null")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, t1, t2); the last two stand for the text."""
+    t1, t2 = content_key(F.col(text_col))
+    return docs.select(integer_id(docs, id_col).alias("id"), F.col(text_col).alias("text"), t1.alias("t1"), t2.alias("t2"))
+
+
+def _signed(texts: DataFrame, ngram: int, bands: Bands) -> DataFrame:
+    """(id, t1, t2, n_shingles, node, half_keys) per row. ``node`` stands for the set; it is null if that is empty."""
+    small_batches(texts.sparkSession)
+    rows = texts.mapInArrow(_signer(ngram, bands), "id long, t1 long, t2 long, n_shingles long, f1 long, f2 long, half_keys array<long>")
+    node = F.when(F.col("n_shingles") > 0, F.xxhash64("f1", "f2", "n_shingles"))
+    return stored(rows.select("id", "t1", "t2", "n_shingles", node.alias("node"), "half_keys"), "dedup-signatures")
+
+
+def _place() -> Column:
+    """How rows of one set are ordered: by id, null last, then by their text."""
+    return F.struct(F.col("id").isNull().alias("missing"), "id", "t1", "t2")
+
+
+def _links(texts: DataFrame, signed: DataFrame, ngram: int, percent: int, bands: Bands) -> tuple[DataFrame, DataFrame]:
+    """(node, least row) per set, and the edges (src, dst) that make its similar sets connected."""
     classes = stored(
-        usable.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("id", "half_keys")).alias("least")).select(
-            "f1", "f2", "n_shingles", F.col("least.id").alias("class_id"), F.col("least.half_keys").alias("half_keys")
-        ),
-        "dedup-classes",
+        signed.where("node is not null").groupBy("node").agg(F.min(_place()).alias("least"), F.first("half_keys").alias("half_keys")), "dedup-classes"
     )
     tables = [
         F.xxhash64(F.lit(i * bands.right + j), F.col("half_keys")[i], F.col("half_keys")[bands.left + j])
@@ -216,14 +220,11 @@ def near_duplicates(
         for j in range(bands.right)
     ]
     # each class becomes many rows here, so its few large partitions are dealt to more tasks first
-    spread = classes.select("class_id", "half_keys").repartition(2 * parallelism(docs.sparkSession), "class_id")
-    keyed = spread.select(F.col("class_id").alias("id"), F.explode(F.array(*tables)).alias("key"))
+    spread = classes.select("node", "half_keys").repartition(2 * parallelism(texts.sparkSession), "node")
+    keyed = spread.select(F.col("node").alias("id"), F.explode(F.array(*tables)).alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "dedup-keys")
     bucketed = stored(keyed.join(shared, "key").select("key", "id"), "dedup-buckets")
-
-    involved = stored(bucketed.select("id").distinct(), "dedup-involved")
-    wanted = texts.join(involved, "id", "left_semi")
-    sets = stored(wanted.mapInArrow(_setter(ngram), "id long, hashes binary"), "dedup-sets")
+    sets = _sets(texts, classes, bucketed, ngram)
 
     # 1. stars
     leads = stored(
@@ -248,6 +249,7 @@ def near_duplicates(
         F.lit(0).alias("chunk"), F.lit(0).alias("role"), F.col("of").alias("id"),
     )
     stars = stored(_compare(bases.unionByName(streamed), sets, percent), "dedup-stars")
+    release(shared, pairs, per_lead)
     first = connected_components(stars)
 
     # 2. the rest: per bucket of three or more, members outside of the component that most of the bucket is in
@@ -258,57 +260,114 @@ def near_duplicates(
     )
     # the component that leads a bucket is the one that is largest overall, so hardly any row is outside of it
     whole = stored(first.groupBy("component").agg(F.count("*").alias("whole")).withColumnRenamed("component", "of"), "dedup-sizes")
-    sizes = marked.join(whole, marked["component"] == whole["of"], "left").groupBy("key", "component").agg(F.max(F.coalesce("whole", F.lit(1))).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct(F.col("n"), (-F.col("component")).alias("c"))).alias("m"), F.count("*").alias("parts"))
-    main = stored(main.where("parts > 1").select(F.col("key").alias("main_key"), (-F.col("m.c")).alias("main")), "dedup-main")
-    split = marked.join(main, marked["key"] == main["main_key"])
-    outside = stored(split.where("component <> main").select("main", "id").distinct(), "dedup-outside")
-    inside = stored(split.where("component = main").select("main", "id").distinct(), "dedup-inside")
-    edges = stars
-    if not outside.isEmpty():
-        edges = stars.unionByName(_rest(outside, inside, sets, percent))
-    linked = connected_components(edges)
-
-    named_classes = stored(
-        classes.join(linked, classes["class_id"] == linked["node"], "left").select(
-            F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.col("n_shingles").alias("cn"), "class_id",
-            F.coalesce("component", "class_id").alias("component"),
-        ),
-        "dedup-components",
+    sizes = marked.join(whole, marked["component"] == whole["of"], "left").groupBy("key", "component").agg(F.max(F.coalesce("whole", F.lit(1))).alias("n"), F.count("*").alias("rows"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "rows")).alias("m"), F.sum("rows").alias("rows"), F.count("*").alias("parts"))
+    main = stored(
+        main.where("parts > 1").select(F.col("key").alias("main_key"), F.col("m.component").alias("main"), ((F.col("rows") - F.col("m.rows")) * F.col("rows")).alias("work")),
+        "dedup-main",
     )
-    return signed.join(
-        named_classes, (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn")), "left"
-    ).select(
-        F.col("id").alias("doc_id"),
-        "n_shingles",
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        (F.col("id").isNull() | (F.col("id") == F.coalesce("component", "id"))).alias("kept"),
+    split = stored(marked.join(main, marked["key"] == main["main_key"]).select("key", "main", "id", (F.col("component") == F.col("main")).alias("within")), "dedup-split")
+    edges = stars
+    if not split.isEmpty():
+        rest = _rest(split, main, sets, percent)
+        edges = stored(stars.unionByName(rest), "dedup-edges")
+        release(stars, rest)
+    release(bucketed, leads, marked, whole, main, split, first, sets)
+    return classes, edges
+
+
+def _sets(texts: DataFrame, classes: DataFrame, bucketed: DataFrame, ngram: int) -> DataFrame:
+    """(node, hashes) of every set in some bucket, each from the first row that has it."""
+    involved = classes.join(bucketed.select("id").distinct(), F.col("node") == F.col("id"), "left_semi")
+    rows = stored(involved.select("node", F.col("least.id").alias("o"), F.col("least.t1").alias("o1"), F.col("least.t2").alias("o2")), "dedup-involved")
+    wanted = texts.join(rows, (F.col("t1") == F.col("o1")) & (F.col("t2") == F.col("o2")) & F.col("id").eqNullSafe(F.col("o"))).select("node", "text")
+    sets = stored(wanted.mapInArrow(_setter(ngram), "node long, hashes binary"), "dedup-sets")
+    release(rows)
+    if sets.groupBy("node").count().where("count > 1").isEmpty():
+        return sets
+    once = stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "dedup-sets")  # rows that are repeated whole
+    release(sets)
+    return once
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    ngram: int = 5,
+    percent: int = 80,
+    bands: Bands = BANDS,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row; documents of similarity ``percent`` / 100 or more are linked."""
+    texts = _texts(docs, id_col, text_col)
+    signed = _signed(texts, ngram, bands)
+    usable = signed.where("node is not null and id is not null")
+    classes, edges = _links(texts, usable, ngram, percent, bands)
+    # an id with several texts joins them
+    several = stored(usable.groupBy("id").agg(F.min("node").alias("dst"), F.max("node").alias("last")).where("dst <> last").select(F.col("id").alias("of"), "dst"), "dedup-ids")
+    joined = usable.join(several, usable["id"] == several["of"]).where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    linked = connected_components(edges.unionByName(joined)).withColumnRenamed("node", "of")
+    named = classes.join(linked, classes["node"] == linked["of"], "left").select("node", F.col("least.id").alias("low"), F.coalesce("component", "node").alias("component"))
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = stored(named.join(lows, "component").select(F.col("node").alias("of"), "component_id"), "dedup-components")
+    release(classes, edges, several, linked)
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return signed.join(named, F.col("node") == F.col("of"), "left").select(
+        F.col("id").alias("doc_id"), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept")
     )
 
 
-def _rest(outside: DataFrame, inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each outsider with its main component and with the other outsiders, by blocks of rows."""
-    blocks = lambda n: F.ceil(F.col(n) / REST_BLOCK).cast("int")
-    counts = outside.groupBy("main").agg(F.count("*").alias("n_out")).join(
-        inside.groupBy(F.col("main").alias("main_in")).agg(F.count("*").alias("n_in")), F.col("main") == F.col("main_in")
-    ).select(F.col("main").alias("of"), blocks("n_out").alias("b_out"), blocks("n_in").alias("b_in"))
-    counts = stored(counts, "dedup-rest-counts")
-    near = outside.join(counts, outside["main"] == counts["of"]).select("main", "id", F.pmod(F.xxhash64("id"), F.col("b_out")).cast("int").alias("block"), "b_out", "b_in")
-    far = inside.join(counts, inside["main"] == counts["of"]).select("main", "id", F.pmod(F.xxhash64("id"), F.col("b_in")).cast("int").alias("block"), "b_out", "b_in")
+def _rest(split: DataFrame, main: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the outsiders of each bucket, or of all buckets that one component leads, with all other members."""
+    count = lambda within: F.count_distinct(F.when(F.col("within") == within, F.col("id")))
+    whole = split.groupBy("main").agg(count(False).alias("n_out"), count(True).alias("n_in"))
+    work = main.groupBy(F.col("main").alias("of")).agg(F.sum("work").alias("work"))
+    together = whole.join(work, F.col("main") == F.col("of")).where(F.col("n_out") * (F.col("n_in") + F.col("n_out")) <= F.col("work"))
+    together = stored(together.select(F.col("main").alias("as_one")), "dedup-together")
+    dealt = split.join(together, split["main"] == together["as_one"], "left")
+    rows = stored(dealt.select(F.xxhash64(F.col("as_one").isNull(), F.coalesce(F.when(F.col("as_one").isNull(), F.col("key")), "main")).alias("g"), "id", "within").distinct(), "dedup-rest-rows")
+    outside, inside = rows.where("not within").select("g", "id"), rows.where("within").select("g", "id")
+
+    blocks = lambda within: F.ceil(F.count_if(F.col("within") == within) / REST_BLOCK).cast("int")
+    counts = stored(rows.groupBy(F.col("g").alias("of")).agg(blocks(False).alias("b_out"), blocks(True).alias("b_in")), "dedup-rest-counts")
+    near = outside.join(counts, outside["g"] == counts["of"]).select("g", "id", F.pmod(F.xxhash64("id"), F.col("b_out")).cast("int").alias("block"), "b_out", "b_in")
+    far = inside.join(counts, inside["g"] == counts["of"]).select("g", "id", F.pmod(F.xxhash64("id"), F.col("b_in")).cast("int").alias("block"), "b_out", "b_in")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     # base blocks: the outsiders; chunks 0.. are blocks of the component, then blocks of outsiders, each pair of them once
     to = lambda first, last: F.explode(F.sequence(first, last))
-    whole = F.concat(upto(F.col("b_in")), F.sequence(F.col("b_in") + F.col("block"), F.col("b_in") + F.col("b_out") - 1))
-    base = near.select(F.col("main").alias("g"), F.col("block").alias("part"), F.explode(whole).alias("chunk"), F.lit(0).alias("role"), "id")
-    stream_in = far.select(F.col("main").alias("g"), F.explode(upto(F.col("b_out"))).alias("part"), F.col("block").alias("chunk"), F.lit(1).alias("role"), "id")
-    stream_out = near.select(F.col("main").alias("g"), to(F.lit(0), F.col("block")).alias("part"), (F.col("b_in") + F.col("block")).alias("chunk"), F.lit(1).alias("role"), "id")
-    return stored(_compare(base.unionByName(stream_in).unionByName(stream_out), sets, percent), "dedup-rest")
+    chunks = F.concat(upto(F.col("b_in")), F.sequence(F.col("b_in") + F.col("block"), F.col("b_in") + F.col("b_out") - 1))
+    base = near.select("g", F.col("block").alias("part"), F.explode(chunks).alias("chunk"), F.lit(0).alias("role"), "id")
+    stream_in = far.select("g", F.explode(upto(F.col("b_out"))).alias("part"), F.col("block").alias("chunk"), F.lit(1).alias("role"), "id")
+    stream_out = near.select("g", to(F.lit(0), F.col("block")).alias("part"), (F.col("b_in") + F.col("block")).alias("chunk"), F.lit(1).alias("role"), "id")
+    found = stored(_compare(base.unionByName(stream_in).unionByName(stream_out), sets, percent), "dedup-rest")
+    release(together, rows, counts)
+    return found
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document leads its component; columns unchanged. Of rows that share an id one stays."""
-    dropped = near_duplicates(docs, id_col, text_col, ngram, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id")).distinct()
-    left = docs.join(stored(dropped, "dedup-dropped"), docs[id_col].cast("long") == F.col("_dropped_id"), "left_anti")
-    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        return left
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    """One row of each group of near-duplicates, and all rows without words; columns unchanged.
+
+    Rows are judged one by one, so rows that share an id, or have none, are documents of their own. The least id stays (null
+    comes last); of rows that share it, the least by a hash of the text, then by a hash of all columns: reruns agree.
+    """
+    texts = _texts(docs, id_col, text_col)
+    signed = _signed(texts, ngram, BANDS)
+    classes, edges = _links(texts, signed, ngram, percent, BANDS)
+    linked = connected_components(edges).withColumnRenamed("node", "of")
+    named = classes.join(linked, classes["node"] == linked["of"], "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    leaders = named.groupBy("component").agg(F.min("least").alias("leader"))
+    named = stored(named.join(leaders, "component").select(F.col("node").alias("of"), "leader"), "dedup-leaders")
+    rows = signed.join(named, F.col("node") == F.col("of")).select("id", "t1", "t2", (_place() == F.col("leader")).alias("leads"))
+    rows = stored(rows.groupBy("id", "t1", "t2", "leads").agg(F.count("*").alias("n")).where("not leads or n > 1"), "dedup-dropped")
+    release(classes, edges, linked, named, signed)
+    key = lambda df, own: df.select(F.col("id").alias(own[0]), F.col("t1").alias(own[1]), F.col("t2").alias(own[2]))
+    t1, t2 = content_key(docs[text_col])
+    same = lambda df, own: docs[id_col].cast("long").eqNullSafe(df[own[0]]) & (t1 == df[own[1]]) & (t2 == df[own[2]])
+    own = ("_dup_id", "_dup_1", "_dup_2")
+    dropped, repeated = key(rows.where("not leads"), own), key(rows.where("leads"), own)
+    if repeated.isEmpty():
+        return docs.join(dropped, same(dropped, own), "left_anti")
+    gone = key(rows, own)
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    again = docs.join(repeated, same(repeated, own)).groupBy(*own).agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.xxhash64(*[docs[c] for c in plain])).alias("_dup_row"))
+    return docs.join(gone, same(gone, own), "left_anti").unionByName(again.select("_dup_row.*"))

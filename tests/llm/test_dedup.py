@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import neardup, substrings, vectors
 from quarry.llm.graph import connected_components
@@ -48,6 +49,44 @@ def test_large_group_of_near_copies_is_complete(spark, monkeypatch):
     assert got == brute_near(rows, 2)
 
 
+@pytest.mark.parametrize("together", [True, False])
+def test_rest_round_by_component_and_by_bucket(spark, monkeypatch, together):
+    """Families whose members are far from each other's leads, with the two ways of grouping the rest."""
+    monkeypatch.setattr(neardup, "REST_BLOCK", 4)
+    if not together:  # a bucket's pairs cost nothing, so each stands alone
+        real = neardup._rest
+        monkeypatch.setattr(neardup, "_rest", lambda split, main, *a: real(split, main.withColumn("work", F.lit(-1)), *a))
+    r = random.Random(14)
+    rows = []
+    for _ in range(4):
+        base = prose(r, 60).split(" ")
+        for _ in range(60):
+            words = list(base)
+            for k in r.sample(range(len(base)), r.randint(0, 9)):
+                words[k] = f"v{r.randrange(4)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, ngram=2).collect()}
+    assert got == brute_near(rows, 2)
+
+
+def test_rows_that_share_an_id(spark):
+    """One document with several texts joins the links of all of them; as rows, each is judged alone."""
+    r = random.Random(2)
+    a, b, c, d = (prose(r, 30) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (9, b), (5, ""), (7, c), (7, c), (7, d), (8, d), (None, c), (None, "only here"), (None, "only here")]
+    df = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], DOCS)
+    got = sorted((x["doc_id"] or 0, x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(df, ngram=2).collect())
+    size = lambda t: len(shingles(t, 2))
+    want = [(3, size(a), 3, True), (5, size(a), 3, False), (5, size(b), 3, False), (9, size(b), 3, False), (5, 0, 5, True), (7, size(c), 7, True), (7, size(c), 7, True), (7, size(d), 7, True), (8, size(d), 7, False)]
+    assert got == sorted([*want, (0, size(c), None, True), (0, 1, None, True), (0, 1, None, True)], key=lambda x: (x[0], x[1], x[2] or 0, x[3]))
+    kept = lambda d: sorted((x["doc_id"] or 0, x["text"], x["n"]) for x in neardup.one_of_each(d, ngram=2).collect())
+    once = kept(df)
+    assert [(i, t) for i, t, _ in once] == sorted([(3, a), (5, b), (5, ""), (7, c), (7, d), (0, "only here")]) and once == kept(df.repartition(5))
+    with pytest.raises(TypeError, match="integer"):
+        neardup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_near_duplicate_cases(spark):
     long = " ".join(f"w{i}" for i in range(60000))
     rows = [(1, None, "x", 0), (2, "", "x", 0), (3, " \t", "x", 0), (4, "Word", "x", 0), (9, "word", "x", 0), (5, long, "x", 0), (6, long + " more", "x", 0), (7, "a b c", "x", 0), (7, "a b c", "x", 0), (None, "a b c", "x", 0), (None, None, "x", 0)]
