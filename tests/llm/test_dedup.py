@@ -140,6 +140,20 @@ def test_substring_cases(spark):
     assert substrings.repeated_spans(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Documents of their own, in the order of their texts' hashes; equal rows are one document."""
+    r = random.Random(11)
+    parts = [prose(r, 40) for _ in range(4)]
+    rows = [(1, parts[0]), (2, parts[0] + " and five more words here"), (2, "other " + parts[1]), (2, parts[2]), (2, parts[2]), (3, parts[2] + " " + parts[3]), (3, parts[3] + " " + parts[1])]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], DOCS)
+    got = substrings.repeated_spans(df.withColumn("key", F.xxhash64("text"))).collect()
+    order = {t: r["key"] for (_, t), r in zip(rows, df.select(F.xxhash64("text").alias("key")).collect(), strict=True)}
+    keyed = {(i, order[t]): t for i, t in rows}
+    brute = brute_substrings([(k, t) for k, t in keyed.items()])
+    want = sorted((i, *brute[i, order[t]]) for i, t in rows)
+    assert sorted((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got) == want and sum(x[2] for x in want) > 100
+
+
 VECS = "vec_id long, embedding array<float>, label int, n long, unit string"
 
 
