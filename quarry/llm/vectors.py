@@ -6,12 +6,15 @@ summed squared distance that it must travel, per half, to leave its own codeword
 margins). It stops at a radius which is calibrated on the sample so that of pairs at exactly the least cosine either side
 meets the other with probability ``TARGET_RECALL``; both do not with far less than the rest. Met pairs are verified in double precision.
 
-Vectors that are equal are one class. A pair is found if either side visits the other's cell, and counts for both. Cells
+Vectors that are equal are one node. A pair is found if either side visits the other's cell, and counts for both. Cells
 are cut into blocks and visitors into chunks, so no task sees a whole large cell.
 
-Cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null label, link with nothing;
-vectors of different lengths link with nothing; repeated rows are vectors of their own; a null id gets a null component
-and is kept; an empty table gives an empty table; extra columns are ignored.
+Rows are vectors of their own, whatever their ids, and ids are joined at the end: rows that share an id are not linked by
+that, and each counts its own links. Ids are integers (others raise TypeError). Cases: vectors that are null, zero, or
+hold null or non-finite components, and rows with a null label, link with nothing; components may be as large or small as
+doubles get, since vectors are scaled by their largest component first; vectors of different lengths link with nothing;
+a null id gets a null component, is kept, and links nothing; an empty table gives an empty table; extra columns are
+ignored. A node is told apart by a 64-bit hash of its label and components.
 """
 
 from __future__ import annotations
@@ -25,14 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import connected_components
-from quarry.llm.store import parallelism, stored
+from quarry.llm.store import integer_id, parallelism, release, stored
 
 LEAST_COSINE = 0.93
-#: Vectors that the codebooks are fitted on at most.
+#: Vectors that the codebooks are fitted on at most, and their components in all.
 FIT_ROWS = 16384
+FIT_VALUES = 1 << 22
 #: Stored vectors that a cell holds about; it sets the codebooks' size.
 PER_CELL = 96
-MOST_CODES = 256
+#: Codewords of a half at most: a grid of 2 ** 20 cells, which hold PER_CELL vectors each up to 100 million of a label.
+MOST_CODES = 1024
+#: Sampled vectors per codeword at least.
+PER_CODE = 8
 TARGET_RECALL = 0.99
 BLOCK = 128
 
@@ -45,14 +52,16 @@ class Grid:
     books: tuple[np.ndarray, np.ndarray]
     radius2: float
 
+    def __post_init__(self):
+        self.gaps = tuple(np.sqrt(np.maximum(_distances(b, b), 1e-12)) for b in self.books)
+
     def margins(self, x: np.ndarray, half: int) -> np.ndarray:
         """For each vector and codeword, the squared distance to the codeword's region (0 for its own)."""
         book = self.books[half]
         part = x[:, : self.dims // 2] if half == 0 else x[:, self.dims // 2 :]
-        d2 = ((part * part).sum(axis=1)[:, None] - 2 * part @ book.T) + (book * book).sum(axis=1)[None, :]
+        d2 = _distances(part, book)
         own = d2.argmin(axis=1)
-        gap = np.sqrt(np.maximum(((book[:, None, :] - book[None, :, :]) ** 2).sum(axis=2), 1e-12))
-        to = (d2 - d2[np.arange(len(x)), own][:, None]) / (2 * gap[own])
+        to = (d2 - d2[np.arange(len(x)), own][:, None]) / (2 * self.gaps[half][own])
         to[np.arange(len(x)), own] = 0
         return np.maximum(to, 0) ** 2
 
@@ -73,6 +82,11 @@ class Grid:
         return own, visits
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of rows."""
+    return ((a * a).sum(axis=1)[:, None] - 2 * a @ b.T) + (b * b).sum(axis=1)[None, :]
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(11)
     book = x[rng.permutation(len(x))[:k]].copy()
@@ -89,7 +103,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit_grid(x: np.ndarray, vectors: int, least: float = LEAST_COSINE, recall: float = TARGET_RECALL) -> Grid:
     """Codebooks for about ``vectors`` stored vectors per label, and the calibrated radius."""
     dims = x.shape[1]
-    k = int(np.clip(round(np.sqrt(max(1, vectors) / PER_CELL)), 1, min(MOST_CODES, len(x))))
+    k = int(np.clip(round(np.sqrt(max(1, vectors) / PER_CELL)), 1, max(1, min(MOST_CODES, len(x) // PER_CODE))))
     grid = Grid(dims, (_kmeans(x[:, : dims // 2], k), _kmeans(x[:, dims // 2 :], k)), 0.0)
     # partners at exactly the least cosine, in random directions: how far is the partner's cell?
     rng = np.random.default_rng(13)
@@ -114,10 +128,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = None
             if v.is_valid and len(v) and v.values.null_count == 0:
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            norm = 0.0 if x is None or not np.isfinite(x).all() else float(np.sqrt((x * x).sum()))
-            if norm > 0 and np.isfinite(norm):
+            most = 0.0 if x is None or not np.isfinite(x).all() else float(np.abs(x).max())
+            if most > 0:
+                y = np.ldexp(x, -np.frexp(most)[1])  # exact, and no square overflows or vanishes
                 raws.append(x.tobytes())
-                units.append((x / norm).tobytes())
+                units.append((y / np.sqrt((y * y).sum())).tobytes())
             else:
                 raws.append(None)
                 units.append(None)
@@ -236,19 +251,21 @@ def near_duplicates(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row; vectors of one label with cosine ``least`` or more are linked."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
+    rows = vectors.select(integer_id(vectors, id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     kind = dict(rows.dtypes)["label"]
-    units = stored(rows.mapInArrow(_units, f"id long, label {kind}, raw binary, unit binary"), "vec-units")
-    usable = units.where("unit is not null and label is not null and id is not null")
-    classes = stored(usable.groupBy("label", "raw").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("unit").alias("unit")), "vec-classes")
-
-    sample = [np.frombuffer(r["unit"]) for r in classes.select("unit").orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).collect()]
-    most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    node = F.when(F.col("unit").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull(), F.xxhash64("label", "raw"))
+    units = stored(rows.mapInArrow(_units, f"id long, label {kind}, raw binary, unit binary").select("id", "label", "unit", node.alias("node")), "vec-units")
+    usable = units.where("node is not null")
+    classes = stored(usable.groupBy("node", "label").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("unit").alias("unit")), "vec-classes")
+
+    shape = classes.groupBy("label").agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("size")).agg(F.max("n").alias("n"), F.max("size").alias("size")).first()
+    most, rows_to_fit = shape["n"] or 0, min(FIT_ROWS, FIT_VALUES // max(1, (shape["size"] or 8) // 8))
+    sample = [np.frombuffer(r["unit"]) for r in classes.select("unit").orderBy(F.xxhash64("node"), "node").limit(rows_to_fit).collect()]
     lengths = {len(x) for x in sample}
     grids = {d: fit_grid(np.stack([x for x in sample if len(x) == d]), most, least, recall) for d in lengths if d > 1}
 
     placed = stored(
-        classes.select("id", "label", "n", "unit").mapInArrow(
+        classes.select(F.col("node").alias("id"), "label", "n", "unit").mapInArrow(
             _placer(grids), f"id long, label {kind}, n long, unit binary, dims int, cell int, visits array<int>"
         ),
         "vec-placed",
@@ -267,19 +284,20 @@ def near_duplicates(
     grouped = full.select(F.xxhash64(*group).alias("g"), "role", "id", "n", "cell", "visits", "unit")
     dealt = grouped.repartition(parallelism(spark), "g").sortWithinPartitions("g", "role")
     found = stored(dealt.mapInArrow(_comparer(least), "src long, dst long, links long"), "vec-links")
+    release(placed, visits, cells)
 
-    links = found.where("dst is null").groupBy(F.col("src").alias("link_id")).agg(F.sum("links").alias("links"))
-    components = connected_components(found.where("dst is not null").select("src", "dst"))
-    named = stored(
-        classes.select("label", "raw", "id", "n").join(links, F.col("id") == F.col("link_id"), "left").join(components, F.col("id") == F.col("node"), "left").select(
-            F.col("label").alias("class_label"), F.col("raw").alias("class_raw"),
-            (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"),
-        ),
-        "vec-classes-linked",
+    links = found.where("dst is null").groupBy(F.col("src").alias("link_node")).agg(F.sum("links").alias("links"))
+    components = connected_components(found.where("dst is not null").select("src", "dst")).withColumnRenamed("node", "of")
+    named = classes.join(links, F.col("node") == F.col("link_node"), "left").join(components, F.col("node") == F.col("of"), "left").select(
+        "node", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("component")
     )
-    return units.join(named, (F.col("label") == F.col("class_label")) & (F.col("raw") == F.col("class_raw")), "left").select(
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = stored(named.join(lows, "component").select(F.col("node").alias("of"), "links", "component_id"), "vec-classes-linked")
+    release(classes, found, components)
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return units.join(named, F.col("node") == F.col("of"), "left").select(
         F.col("id").alias("vec_id"),
-        F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        (F.col("id").isNull() | (F.col("id") == F.coalesce("component", "id"))).alias("kept"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        own.alias("component_id"),
+        F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"),
     )

@@ -167,8 +167,11 @@ def brute_vectors(rows):
     return {i: (sum(i in p for p in links), comp[i], comp[i] == i) for i in unit}
 
 
-def test_vectors_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("per_cell", [96, 1])
+def test_vectors_match_brute_force(spark, monkeypatch, per_cell):
+    """In one cell, and in a grid of 100 cells or so."""
     monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "PER_CELL", per_cell)
     rng = np.random.default_rng(2)
     rows = []
     for c in range(14):
@@ -194,4 +197,12 @@ def test_vector_cases(spark):
     assert len(got) == 13
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[12] == (2, 1, False)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10, 11)) and got[None] == (0, None, True)
+    # rows that share an id are vectors of their own; components may be huge or tiny
+    wide = [(1, [1e200, 1e200], 0), (2, [1e200, 1.0001e200], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 0.0], 0), (5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (6, [0.0, 2.0], 0), (0, [0.0, 3.0], 1), (0, [-1.0, 0.1], 1)]
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<double>, label int")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(df).collect()) == [
+        (0, 0, 0, True), (0, 0, 0, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 1, 4, False), (5, 1, 5, True), (6, 1, 5, False),
+    ]
+    with pytest.raises(TypeError, match="integer"):
+        vectors.near_duplicates(spark.createDataFrame([("a", [1.0], 0)], "vec_id string, embedding array<float>, label int"))
     assert vectors.near_duplicates(spark.createDataFrame([], VECS)).collect() == []
