@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -177,6 +178,43 @@ def test_mined_rules_decide(spark):
     assert got[99] == "block"
 
 
+def test_mined_rules_match_brute_force(spark):
+    """Support, confidence and redundancy of every rule of up to three tokens."""
+    r = random.Random(21)
+    rows = []
+    for _ in range(300):
+        tokens = {t for t, p in (("a", 0.6), ("b", 0.5), ("c", 0.3), ("d", 0.2), ("e", 0.1), ("rare", 0.005)) if r.random() < p}
+        tokens |= {"twin1", "twin2"} if r.random() < 0.3 else set()
+        bad = {"a", "c"} <= tokens or "d" in tokens and r.random() < 0.9
+        rows.append((sorted(tokens), "block" if bad else "allow"))
+    found = urls.mined_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.02, 0.8).collect()
+    got = {(frozenset(x["antecedent"]), x["verdict"]): (x["confidence"], x["support"]) for x in found}
+
+    def measure(part, verdict):
+        fits = [v for t, v in rows if part <= set(t)]
+        return (fits.count(verdict) / len(fits) if fits else 0, fits.count(verdict) / len(rows))
+
+    names = ["a", "b", "c", "d", "e", "twin1", "twin2"]
+    parts = [frozenset(c) for k in (1, 2, 3) for c in itertools.combinations(names, k)]
+    sure = {(p, v): measure(p, v) for p in parts for v in ("allow", "block")}
+    sure = {k: m for k, m in sure.items() if m[0] >= 0.8 and m[1] >= 0.02}
+    want = {k: m for k, m in sure.items() if not any(q < k[0] and v == k[1] and n[0] >= m[0] for (q, v), n in sure.items())}
+    short = {k: m for k, m in got.items() if len(k[0]) <= 3}
+    print(sorted(map(str, set(short) ^ set(want))))
+    assert len(want) > 3 and short.keys() == want.keys() and all(m == pytest.approx(want[k]) for k, m in short.items())
+    assert all(len(p) > 3 or (p, v) in want for p, v in got) and not any("rare" in p for p, _ in got)
+
+
+def test_long_urls_do_not_explode(spark):
+    deep = "http://a.com/" + "/".join(f"s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    few = spark.createDataFrame([(1, deep), (2, "http://b.net/es/x")], "page_id long, url string")
+    assert {x["page_id"]: x["verdict"] for x in urls.judge(few).collect()} == {1: "allow", 2: "block"}
+    r = random.Random(3)
+    mixed = ["http://a.com/" + "/".join(r.sample([f"s{chr(97 + i)}" for i in range(26)], 18)) for _ in range(60)]
+    many = spark.createDataFrame(list(enumerate([deep] * 40 + mixed + ["http://c.org/x"] * 9)), "page_id long, url string")
+    assert urls.judge(many).count() == 109
+
+
 def labelled(r, n):
     docs, labels = [], []
     for i in range(n):
