@@ -39,8 +39,12 @@ HEAD_CONTENT = frozenset("html head base basefont bgsound link meta title noscri
 P_SCOPE = frozenset("article aside blockquote body button caption div fieldset figure footer form header html li main nav section table td th dd".split())
 
 
+#: Tag of the nodes that hold loose text: what stands in the body itself, between its blocks.
+LOOSE = "#text"
+
+
 class Node:
-    """An element that is judged: a block, or an inline element with a class, id or role."""
+    """What is judged: a block, an inline element with a class, id or role, or a run of loose text in the body."""
 
     __slots__ = ("tag", "names", "parent", "depth", "children", "texts", "links", "order")
 
@@ -66,6 +70,7 @@ def parse(page: str) -> list[Node]:
     root = Node("html", frozenset(), None, 0)
     nodes, stack = [root], [("html", root)]
     links = skip = place = at = 0
+    run: Node | None = None  # the run of loose text that is open
     last_ends: dict[str, int] = {}
     loose: list[tuple[int, int]] = []  # (place in the stack, skip) of unread elements that nothing closes
 
@@ -79,13 +84,22 @@ def parse(page: str) -> list[Node]:
         return last_ends[tag] >= at
 
     def text(piece: str) -> None:
-        nonlocal place
+        nonlocal place, run
         if piece and not skip:
             node = stack[-1][1]
+            if node is root and not piece.isspace():
+                if run is None:
+                    run = Node(LOOSE, frozenset(), root, place)
+                    root.children.append(run)
+                    nodes.append(run)
+                node = run
             node.texts.append((place, piece, links > 0))
             place += 1
 
-    def gap() -> None:
+    def gap(ends_run: bool = True) -> None:
+        nonlocal run
+        if ends_run:
+            run = None
         text(" ")
 
     def close_to(index: int) -> None:
@@ -127,7 +141,7 @@ def parse(page: str) -> list[Node]:
             close_to(loose[-1][0])
         if tag in VOID:
             if tag in ("br", "hr"):
-                gap()
+                gap(tag == "hr")
             continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):

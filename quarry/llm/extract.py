@@ -1,8 +1,9 @@
 """Main-text extraction: gradient-boosted trees over DOM nodes, decoded along the tree.
 
-Each block element (and each inline one with a class or id) is a node with features: its tag, the roles that its class
-and id tokens hint at, depth, text and link density of its subtree, statistics of its siblings, the same hints of its
-ancestors. Boosted trees give log-odds that its subtree holds main text. Decoding picks the best set in which a node is
+Each block element (and each inline one with a class or id, and each run of loose text in the body) is a node with
+features: its tag, the roles that its class and id tokens hint at, depth, text and link density of its subtree, statistics
+of its siblings, the same hints of its ancestors. In some training pages the names are of no known language, so that
+structure alone must tell. Boosted trees give log-odds that its subtree holds main text. Decoding picks the best set in which a node is
 kept only if its parent is: a subtree is dropped whole if that scores better than keeping its root and the best of its
 children. So no ancestor and descendant can contradict each other.
 
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from quarry.llm import boosting, dom, training_pages
 
 #: Synthetic pages that the trees are fitted on.
-FIT_PAGES = 900
-TAGS = ("div", "p", "li", "ul", "ol", "h1", "h2", "h3", "table", "tr", "td", "article", "main", "section", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "figure", "dl", "ins", "dialog", "span")
+FIT_PAGES = 1200
+TREES = 80
+TAGS = ("div", "p", "li", "ul", "ol", "h1", "h2", "h3", "table", "tr", "td", "article", "main", "section", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "figure", "dl", "ins", "dialog", "span", dom.LOOSE)
 _TAG_INDEX = {t: i for i, t in enumerate(TAGS)}
 ROLES = tuple(training_pages.ROLE_NAMES)
 _ROLE_OF: dict[str, int] = {}
@@ -36,7 +38,9 @@ for _i, _role in enumerate(ROLES):
             _ROLE_OF.setdefault(_part, _i)
 #: Tags that hint at a role by themselves.
 _TAG_ROLE = {"nav": "nav", "header": "header", "footer": "footer", "aside": "side", "ins": "ad", "form": "form", "dialog": "notice", "main": "main", "article": "main"}
-WIDTH = 3 + 2 * len(ROLES) + 14
+WIDTH = 3 + 2 * len(ROLES) + 15
+#: Tags of running text.
+_RUNNING = frozenset(("p", "h1", "h2", "h3", "blockquote", dom.LOOSE))
 
 
 def _roles(node: dom.Node) -> np.ndarray:
@@ -95,16 +99,35 @@ def features(nodes: list[dom.Node]) -> np.ndarray:
         row[k + 9] = total[i, 4] / count[i]
         row[k + 10] = np.log1p(own[i, 0])
         row[k + 11] = total[parent[i], 1] / up
-    # sibling statistics: share with the same tag, and place among siblings
+    # sibling statistics: share with the same tag, place among them, and how much of the text they are in is running text
     for node in nodes:
         kids = node.children
         if kids:
             tags: dict[str, int] = {}
+            running = 0.0
             for c in kids:
                 tags[c.tag] = tags.get(c.tag, 0) + 1
+                if c.tag in _RUNNING and not c.names:
+                    running += total[index[id(c)], 0] - total[index[id(c)], 1]
+            running /= max(total[index[id(node)], 0], 1)
             for place, c in enumerate(kids):
                 out[index[id(c)], k + 12] = tags[c.tag] / len(kids)
                 out[index[id(c)], k + 13] = place / len(kids)
+                out[index[id(c)], k + 14] = running
+    return out
+
+
+def beside(nodes: list[dom.Node], odds: np.ndarray) -> np.ndarray:
+    """Odds in which a run of loose text shares those of the unnamed running text next to it."""
+    out = odds.copy()
+    index = {id(node): i for i, node in enumerate(nodes)}
+    kids = nodes[0].children
+    for place, node in enumerate(kids):
+        if node.tag == dom.LOOSE:
+            near = [kids[k] for k in (place - 1, place + 1) if 0 <= k < len(kids)]
+            near = [odds[index[id(c)]] for c in near if c.tag in _RUNNING and not c.names and c.tag != dom.LOOSE]
+            if near:
+                out[index[id(node)]] += sum(near) / len(near)
     return out
 
 
@@ -128,10 +151,10 @@ def decode(nodes: list[dom.Node], odds: np.ndarray) -> list[bool]:
 
 
 def main_text(nodes: list[dom.Node], kept: list[bool]) -> str:
-    """Texts of the kept nodes in page order. Direct text of the root counts only if no element is kept."""
+    """Texts of the kept nodes in page order; where none is kept, the loose text of the body."""
     pieces = [t for node, k in zip(nodes[1:], kept[1:], strict=True) if k for t in node.texts]
     if not any(kept[1:]):
-        pieces = nodes[0].texts
+        pieces = [t for node in nodes if node.tag == dom.LOOSE for t in node.texts]
     gaps = [t for node in nodes for t in node.texts if t[1] == " "]
     pieces = sorted({t[0]: t for t in pieces + gaps}.values())
     return dom.clean([t[1] for t in pieces])
@@ -153,8 +176,13 @@ def _labels(html: str, nodes: list[dom.Node]) -> np.ndarray:
             marks[order] = attributes.rpartition("data-keep=")[2][0] == "1"
     index = {id(node): i for i, node in enumerate(nodes)}
     out = np.ones(len(nodes))
+    order = 0
     for i in range(1, len(nodes)):
-        out[i] = marks.get(i, out[index[id(nodes[i].parent)]])
+        if nodes[i].tag == dom.LOOSE:
+            out[i] = any(training_pages.KEPT in piece for _, piece, _ in nodes[i].texts)
+            continue
+        order += 1
+        out[i] = marks.get(order, out[index[id(nodes[i].parent)]])
     return out
 
 
@@ -165,7 +193,7 @@ def fitted(count: int = FIT_PAGES) -> boosting.Trees:
         nodes = dom.parse(html)
         xs.append(features(nodes)[1:])
         ys.append(_labels(html, nodes)[1:])
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys))
+    return boosting.fit(np.concatenate(xs), np.concatenate(ys), trees=TREES)
 
 
 def texts(htmls: list[str | None], trees: boosting.Trees) -> list[str]:
@@ -176,7 +204,7 @@ def texts(htmls: list[str | None], trees: boosting.Trees) -> list[str]:
         odds = trees.odds(np.concatenate([features(nodes) for nodes in parsed]))
         at = 0
         for nodes in parsed:
-            own = odds[at : at + len(nodes)].copy()
+            own = beside(nodes, odds[at : at + len(nodes)])
             at += len(nodes)
             own[0] = 0
             out.append(main_text(nodes, decode(nodes, own)))

@@ -23,6 +23,8 @@ ROLE_TAGS = {
     "side": ("aside", "div", "section"), "ad": ("div", "aside", "ins", "section"), "notice": ("div", "section", "aside", "dialog"),
     "comments": ("div", "section", "ol", "ul"), "share": ("div", "ul"), "form": ("form", "div"),
 }
+#: Marks loose text that is main text; it has no width and stands in no real page's statistics.
+KEPT = "\u2060"
 SYLLABLES = "an be ca do el fi go ha in ju ke lo mi no or pa qu re si ta un ve wo xi ya zu é ö ñ ß the and ing tion".split()
 
 
@@ -30,6 +32,8 @@ class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.plain = self.r.random() < 0.3  # a page whose parts mostly carry no names
+        self.foreign = self.r.random() < 0.05  # a page whose names nobody knows
+        self.known: dict[str, str] = {}
 
     def word(self) -> str:
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 4)))
@@ -47,6 +51,8 @@ class Maker:
         if not sure and (self.plain and self.r.random() < 0.7 or self.r.random() < 0.2):
             return ""
         picked = self.r.choice(ROLE_NAMES[role])
+        if self.foreign:
+            picked = self.known.setdefault(role, "x" + self.word())
         if self.r.random() < 0.3:
             picked += self.r.choice(("-", "_", " ")) + self.r.choice(("1", "box", "block", "area", "wrap", "list"))
         return f' {self.r.choice(("class", "class", "id"))}="{picked}"'
@@ -82,6 +88,8 @@ class Maker:
         tag = self.r.choice(ROLE_TAGS[role])
         sure = sure or role == "comments"  # nothing but its name tells a comment from the article
         out = [("open", tag, self.names(role, sure), False)]
+        if role == "footer" and self.r.random() < 0.05:  # a line of loose text that is none of the article
+            return [("raw", f"<hr>&copy; {self.word()}.example &middot; {self.sentence(3, 9)}", False)]
         links = lambda n: "".join(
             f'<li><a href="/{self.word()}">{" ".join(self.word() for _ in range(self.r.randint(1, 3)))}</a></li>' for _ in range(n)
         )
@@ -129,6 +137,8 @@ class Maker:
         if chance(0.12):
             body += self.part("comments", sure=True)
         body.append(("close", main_tag))
+        if chance(0.15):
+            return [*(x for r in before for x in self.part(r)), *self.bare(body[1:-1]), *(x for r in after for x in self.part(r))]
         for _ in range(self.r.choice((0, 0, 1, 2))):
             body = [("open", "div", self.names("wrap"), True), *body, ("close", "div")]
         middle = body
@@ -138,6 +148,19 @@ class Maker:
         return [*(x for r in before for x in self.part(r)), *middle, *(x for r in after for x in self.part(r))]
 
 
+    def bare(self, body: list) -> list:
+        """Main text that stands in the body itself, with loose text between its blocks."""
+        loose = lambda: ("raw", KEPT + " ".join(self.sentence(3, 20) for _ in range(self.r.randint(1, 5))), True)
+        out = [loose()] if self.r.random() < 0.6 else []
+        depth = 0
+        for piece in body:
+            out.append(piece)
+            depth += {"open": 1, "close": -1}.get(piece[0], 0)
+            if depth == 0 and piece[0] == "close" and self.r.random() < 0.5:
+                out.append(loose())
+        return out
+
+
 def render(pieces: list, mark: bool = True) -> str:
     """HTML of the pieces; ``mark`` writes ``data-keep`` on every element so that labels survive parsing."""
     out = ["<!DOCTYPE html><html><body>"]

@@ -1,4 +1,7 @@
+import itertools
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import boosting, dom, extract, training_pages
@@ -49,6 +52,43 @@ def test_tree_of_untidy_html():
     dom.parse("<div>" * 5000 + "x")
 
 
+WORDS = "The council met on Monday evening to discuss the new plan for the river park, and many residents came to speak about it. "
+
+
+def test_text_in_the_body_itself_is_kept():
+    trees = extract.fitted()
+    page = f"<body>Loose opening text that begins the article. <p>{WORDS * 3}</p> And closing loose text, as one does.</body>"
+    assert extract.texts([page], trees) == [" ".join(f"Loose opening text that begins the article. {WORDS * 3} And closing loose text, as one does.".split())]
+
+
+def test_names_of_another_language():
+    trees = extract.fitted()
+    menu = "<div class='navigation'><ul><li><a href=/a>Eins</a></li><li><a href=/b>Zwei</a></li></ul></div>"
+    page = f"<body>{menu}<div class='inhalt'><h1>Titel</h1><p>{WORDS * 3}</p><p>{WORDS}</p></div><div class='kommentar'><div class='eintrag'><p>Toll!</p></div></div></body>"
+    text = extract.texts([page], trees)[0]
+    assert text.startswith(" ".join(f"Titel {WORDS * 4}".split())) and "Eins" not in text
+
+
+def test_decoding_is_the_best_consistent_choice():
+    """Against all choices in which no kept node has a dropped parent; the gain of a choice is the sum of signed odds."""
+    rng = np.random.default_rng(5)
+    pages = ["<div><p>a</p><div><p>b</p><p>c</p></div></div><p>d</p>", "<div><div><div><p>a</p></div><p>b</p></div></div><ul><li>c<li>d</ul>", "a<p>b</p>c"]
+    for page in pages:
+        nodes = dom.parse(page)
+        parents = [0] + [nodes.index(n.parent) for n in nodes[1:]]
+        for _ in range(40):
+            odds = np.concatenate([[0.0], rng.normal(size=len(nodes) - 1)])
+            best = max(
+                sum(o if k else -o for o, k in zip(odds, choice, strict=True))
+                for bits in itertools.product((False, True), repeat=len(nodes) - 1)
+                if all(not k or choice[p] for choice in [(True, *bits)] for k, p in zip(choice, parents, strict=True))
+                for choice in [(True, *bits)]
+            )
+            kept = extract.decode(nodes, odds)
+            assert all(not k or kept[p] for k, p in zip(kept, parents, strict=True))
+            assert sum(o if k else -o for o, k in zip(odds, kept, strict=True)) == pytest.approx(best)
+
+
 def test_boosting_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))
