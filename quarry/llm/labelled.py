@@ -17,11 +17,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: st
     """At most ``rows`` (text, y) of the training folds, the least ones by a hash of the id, so reruns agree.
 
     Only ids are ranked; a bounded number of texts follows. Ids with labels that contradict each other count once, by
-    the greatest label.
+    the greatest label; ids with several texts count once, by the text with the least hash.
     """
     labels, docs = labels.select(id_col, label), docs.select(id_col, text_col)
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("known_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("known_id"), "known_id").limit(rows)
     found = docs.join(F.broadcast(chosen), docs[id_col] == chosen["known_id"]).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "y")
-    return found.groupBy("id").agg(F.first("text").alias("text"), F.first("y").alias("y")).orderBy(F.xxhash64("id"), "id")
+    return found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id")

@@ -5,7 +5,8 @@ source and the hash's first 12 bits; the cumulative histogram shows the bucket i
 bucket is summed again by the next 12 bits, then by the last 12. The result is one threshold per source: documents
 hashed below it are taken once more. Thresholds for growing budgets are nested, and reruns agree.
 
-Cases: null text has size 0; null source is a source of its own, ordered last; null ids share one hash; repeated rows
+Cases: null text has size 0; null source is a source of its own, ordered last; a null id is
+hashed by the text instead; repeated rows
 are documents of their own that are taken alike; an empty table gives an empty table. Extra columns are ignored.
 """
 
@@ -22,16 +23,18 @@ LEVELS = 3
 BITS = LEVEL_BITS * LEVELS
 
 
-def hash36(doc_id: Column) -> Column:
-    """The first 36 bits of the id's MD5, the same in every engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+def hash36(doc_id: Column, text: Column) -> Column:
+    """The first 36 bits of the id's MD5, the same in every engine; of the text's where the id is null."""
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """Targets of (source, source_size): ``share`` of all sizes dealt by weight, no source above ``most`` times its size.
 
     Reshared excess ends in a common level: target = min(cap, weight * level). Sources are sorted by cap / weight; the
-    level is the first one that its own source stays below. One row per source, so one task sees a few rows.
+    level is the first one that its own source stays below. There is one row of some 50 bytes per source, whatever the number
+    of documents; these rows are ordered in one task, which a million sources do not strain.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     number = F.row_number().over(by_name) - 1
@@ -66,7 +69,7 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
 def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``size`` and the hash ``_mix_h``; a column of either name is replaced."""
     return docs.withColumns(
-        {"size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "_mix_h": hash36(F.col(id_col))}
+        {"size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "_mix_h": hash36(F.col(id_col), F.col(text_col))}
     )
 
 
@@ -151,7 +154,7 @@ def _plan(base: DataFrame, weights, share: float, most: int) -> DataFrame:
 MIX_SQL = r"""
 base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))), 1, 9))::BIGINT AS h
   FROM {docs}),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 ranked AS (

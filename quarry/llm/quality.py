@@ -66,7 +66,7 @@ def _with_one(x: np.ndarray) -> np.ndarray:
 
 
 def fit_attention(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, hidden: int = HIDDEN) -> Attention:
-    """Adam on the weighted log-loss; classes weigh alike up to a factor, so scores stay near the labels' odds."""
+    """Adam on the log-loss of the bags; classes are not weighted, so scores stay near the labels' odds."""
     rng = np.random.default_rng(7)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = _with_one((x - mean) / scale)
