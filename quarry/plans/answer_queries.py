@@ -337,22 +337,16 @@ def answer_labels(spark: SparkSession, d: str) -> DataFrame:
 
 # --- relations ------------------------------------------------------------------------------------------------------
 
-# every nation's section text: its customers' and suppliers' sentences by rule
+# every nation's section text: a sentence per supplier and per customer, by name
 EVIDENCE_CTE = f"""{Q.GRAPH_CTE},
-esents AS (SELECT 'nation:' || c_nationkey AS node, c_custkey AS pos, 'Customer ' || c_custkey || ' of ' || n_name || ' in ' || r_name || ' buys here.' AS sentence FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey % 3 > 0),
+esents AS (
+  SELECT 'nation:' || n_nationkey AS node, s_suppkey::BIGINT AS pos, s_name || ' of ' || n_name || ' in ' || r_name || ' sells here.' AS sentence FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT 'nation:' || n_nationkey, c_custkey::BIGINT + 1000000000, c_name || ' of ' || n_name || ' in ' || r_name || ' buys here.' FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
 et AS (SELECT *, ' ' || array_to_string({X.analyze_sql('sentence')}, ' ') || ' ' AS t FROM esents),
-ep AS (SELECT id, ' ' || array_to_string({X.analyze_sql('label')}, ' ') || ' ' AS p FROM nodes WHERE id LIKE 'nation:%' OR id LIKE 'region:%')
+ep AS (SELECT id, ' ' || array_to_string({X.analyze_sql('label')}, ' ') || ' ' AS p FROM nodes)
 """
 
 
-def evidence_sentences(spark: SparkSession, d: str) -> DataFrame:
-    region = F.broadcast(X.table(spark, d, "region"))
-    nation = F.broadcast(X.table(spark, d, "nation").join(region, F.col("r_regionkey") == F.col("n_regionkey")))
-    c = X.table(spark, d, "customer").where("c_custkey % 3 > 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    s = F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.lit(" of "), F.col("n_name"), F.lit(" in "), F.col("r_name"), F.lit(" buys here."))
-    return c.select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("node"), F.col("c_custkey").alias("pos"), s.alias("sentence"))
-
-
 def evidence(spark: SparkSession, d: str, steps: DataFrame, sents: DataFrame) -> DataFrame:
     """Per step (edge_idx, src, dst): the first of the sentences (node, pos, sentence) of either end that names the other end."""
     named = Q.nodes(spark, d).select("id", T.analyze(F.col("label")).alias("p"))
@@ -362,9 +356,10 @@ def evidence(spark: SparkSession, d: str, steps: DataFrame, sents: DataFrame) ->
     return cand.groupBy("edge_idx").agg(F.min(F.struct("pos", "sentence")).alias("best")).select("edge_idx", F.col("best.sentence").alias("sentence"))
 
 
-@query(f"WITH {EVIDENCE_CTE} SELECT edge_idx, arg_min(sentence, pos) AS sentence FROM (SELECT edge_idx, et.* FROM edges e JOIN et ON et.node = e.src JOIN ep ON ep.id = e.dst AND contains(et.t, ep.p) WHERE e.relation = 'is part of' UNION ALL SELECT edge_idx, et.* FROM edges e JOIN et ON et.node = e.dst JOIN ep ON ep.id = e.src AND contains(et.t, ep.p) WHERE e.relation = 'is part of') GROUP BY edge_idx")
+@query(f"WITH {EVIDENCE_CTE} SELECT edge_idx, arg_min(sentence, pos) AS sentence FROM (SELECT edge_idx, et.* FROM edges e JOIN et ON et.node = e.src JOIN ep ON ep.id = e.dst AND contains(et.t, ep.p) UNION ALL SELECT edge_idx, et.* FROM edges e JOIN et ON et.node = e.dst JOIN ep ON ep.id = e.src AND contains(et.t, ep.p)) GROUP BY edge_idx")
 def step_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return evidence(spark, d, Q.edges(spark, d).where("relation = 'is part of'"), evidence_sentences(spark, d))
+    """Every edge's first sentence that names its other end, out of all sentences."""
+    return evidence(spark, d, Q.edges(spark, d), trade_sentences(spark, d))
 
 
 def trade_sentences(spark: SparkSession, d: str) -> DataFrame:
