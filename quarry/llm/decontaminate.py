@@ -25,14 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
+from quarry.llm.bloom import bloom, known
 from quarry.llm.store import content_key, release, small_batches, stored
 
 #: Consecutive words that a shared span has at least.
 SPAN = 10
 #: Words of a fingerprint's run; the winnowing window follows: SPAN - GRAM + 1 runs. Long runs are rarely shared by chance.
 GRAM = 7
-#: Bits of the Bloom filter per fingerprint, and in all at least and at most; beyond that it only lets more through.
-BLOOM_RATE, BLOOM_LEAST, BLOOM_MOST = 16, 1 << 20, 1 << 27
 #: Words that one hit is extended by to either side; where more is shared, the next hit goes on.
 EXTEND = 256
 #: Item words that one text is compared with at a time.
@@ -74,42 +73,9 @@ def _item_prints(span: int, gram: int):
     return prints
 
 
-def _spots(prints: np.ndarray, bits: int) -> np.ndarray:
-    """Two bit positions per fingerprint in a filter of ``bits`` bits (a power of two)."""
-    u = prints.view(np.uint64)
-    return np.stack([u & np.uint64(bits - 1), (u >> np.uint64(32)) & np.uint64(bits - 1)]).astype(np.int64)
-
-
-def _bloom_part(bits: int):
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            own[_spots(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], ["bits"])
-
-    return part
-
-
-def bloom(prints: DataFrame) -> bytes:
-    """Bloom filter of the column ``print``: four parts of ``BLOOM_MOST`` / 8 bytes at most reach the driver."""
-    known = prints.select("print").distinct()
-    bits = 1 << int(np.clip(known.count() * BLOOM_RATE, BLOOM_LEAST, BLOOM_MOST) - 1).bit_length()
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in known.coalesce(4).mapInArrow(_bloom_part(bits), "bits binary").collect():
-        out |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return out.tobytes()
-
-
-def _known(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """Which fingerprints the filter may hold."""
-    one, two = _spots(prints, 8 * len(bits))
-    bit = lambda at: (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-    return (bit(one) & bit(two)).astype(bool)
-
-
 def _doc_prints(span: int, gram: int, short: list[int], bits: bytes):
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(bits, dtype=np.uint8)
+        held = np.frombuffer(bits, dtype=np.uint8)
         for batch in batches:
             counts, hits = [], []
             for _, _, data, at in W.steps(batch.column(1)):
@@ -119,7 +85,7 @@ def _doc_prints(span: int, gram: int, short: list[int], bits: bytes):
                 for n in short:
                     here = np.flatnonzero(words.left() >= n)
                     spots, values = np.append(spots, here), np.append(values, _short(hashes, n)[here])
-                ok = _known(known, values)
+                ok = known(held, values)
                 spots, values = spots[ok], values[ok]
                 order = np.argsort(spots, kind="stable")
                 spots, values = spots[order], values[order]
@@ -220,7 +186,7 @@ def _judged(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col
     short = sorted(r["n"] for r in lengths.collect())  # below ``span`` values
     kind = dict(texts.dtypes)["id"]
     prints = stored(
-        texts.mapInArrow(_doc_prints(span, gram, short, bloom(grams)), f"id {kind}, t1 long, t2 long, n_words long, hits array<struct<print:long,at:long>>"),
+        texts.mapInArrow(_doc_prints(span, gram, short, bloom(grams, "print")), f"id {kind}, t1 long, t2 long, n_words long, hits array<struct<print:long,at:long>>"),
         "doc-prints",
     )
     hits = prints.where(F.size("hits") > 0).groupBy(*TEXT).agg(F.first("hits").alias("hits")).select(*TEXT, F.inline("hits"))

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
+from quarry.llm.bloom import BLOOM_MOST, BLOOM_RATE, bloom, known
 from quarry.llm.graph import connected_components
 from quarry.llm.store import content_key, integer_id, parallelism, release, small_batches, stored
 
@@ -108,11 +109,25 @@ def _signer(ngram: int, bands: Bands):
     return sign
 
 
-def _setter(ngram: int):
+def _setter(ngram: int, bits: bytes | None):
+    """(row key, text) to (n_shingles, f1, f2, hashes) of the rows that the filter lets through."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if bits is None else np.frombuffer(bits, dtype=np.uint8)
         for batch in batches:
-            blobs = [s.tobytes() for _, s in shingle_sets(batch.column(1), ngram)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, type=pa.binary())], ["node", "hashes"])
+            texts = batch.column(1)
+            if held is not None:
+                texts = texts.filter(pa.array(known(held, batch.column(0).to_numpy(zero_copy_only=False))))
+            found = [s for _, s in shingle_sets(texts, ngram) if len(s)]
+            with np.errstate(over="ignore"):
+                sums = np.array([(W.mix(s).sum(dtype=np.uint64), W.mix(s ^ W.LENGTH).sum(dtype=np.uint64)) for s in found], dtype=np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([len(s) for s in found], pa.int64()), pa.array(W.signed(sums[:, 0])), pa.array(W.signed(sums[:, 1])),
+                    pa.array([s.tobytes() for s in found], type=pa.binary()),
+                ],
+                ["n_shingles", "f1", "f2", "hashes"],
+            )
 
     return sets
 
@@ -277,17 +292,23 @@ def _links(texts: DataFrame, signed: DataFrame, ngram: int, percent: int, bands:
 
 
 def _sets(texts: DataFrame, classes: DataFrame, bucketed: DataFrame, ngram: int) -> DataFrame:
-    """(node, hashes) of every set in some bucket, each from the first row that has it."""
+    """(node, hashes) of every set in some bucket, from the first row that has it.
+
+    Texts are not shuffled to find these rows: a filter of their keys goes to the tasks that read the texts, and the few
+    sets too many that it lets through are in no bucket, or copies that the grouping takes out. Beyond the filter's
+    capacity (8 million sets) the rows are found by a join.
+    """
+    key = lambda a, b, c: F.xxhash64(a, b, c).alias("row_key")
     involved = classes.join(bucketed.select("id").distinct(), F.col("node") == F.col("id"), "left_semi")
-    rows = stored(involved.select("node", F.col("least.id").alias("o"), F.col("least.t1").alias("o1"), F.col("least.t2").alias("o2")), "dedup-involved")
-    wanted = texts.join(rows, (F.col("t1") == F.col("o1")) & (F.col("t2") == F.col("o2")) & F.col("id").eqNullSafe(F.col("o"))).select("node", "text")
-    sets = stored(wanted.mapInArrow(_setter(ngram), "node long, hashes binary"), "dedup-sets")
+    rows = stored(involved.select(key(F.col("least.id"), F.col("least.t1"), F.col("least.t2"))), "dedup-involved")
+    keyed = texts.select(key(F.col("id"), F.col("t1"), F.col("t2")), "text")
+    fits = rows.count() * BLOOM_RATE <= BLOOM_MOST
+    if not fits:
+        keyed = keyed.join(rows, "row_key", "left_semi")
+    found = keyed.mapInArrow(_setter(ngram, bloom(rows, "row_key") if fits else None), "n_shingles long, f1 long, f2 long, hashes binary")
+    sets = stored(found.groupBy(F.xxhash64("f1", "f2", "n_shingles").alias("node")).agg(F.first("hashes").alias("hashes")), "dedup-sets")
     release(rows)
-    if sets.groupBy("node").count().where("count > 1").isEmpty():
-        return sets
-    once = stored(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "dedup-sets")  # rows that are repeated whole
-    release(sets)
-    return once
+    return sets
 
 
 def near_duplicates(
