@@ -276,12 +276,15 @@ class Engine:
         else:
             two = of("relation").join(short.select("query", "text", "lang"), "query").select("query", "text", "lang", F.get("concepts", F.lit(0)).alias("a"), F.get("concepts", F.lit(1)).alias("b"))
             parts.append(self.relation(two).select("query", F.lit("relation").alias("kind"), F.array_join("sentences", " ").alias("text"), "sections"))
-            focus = of("concepts").select("query", F.get("concepts", F.lit(0)).alias("node"), "section_id")
+            focus = of("concepts").join(short.select("query", "current_section"), "query").select("query", F.get("concepts", F.lit(0)).alias("node"), F.coalesce("section_id", "current_section").alias("section_id"))
             near = G.neighbors(self.edges, focus.where("node is not null").select("node").distinct()).select("node", "edge_idx", "relation", "other")
             mapped = G.section_map(self.nodes, self.edges).select(F.col("section_id").alias("map_section"), "edge_idx", "relation", F.col("dst").alias("other"))
             by_node = focus.where("node is not null").join(near, "node").select("query", "edge_idx", "relation", "other")
             by_section = focus.where("node is null").join(mapped, F.col("section_id") == F.col("map_section")).select("query", "edge_idx", "relation", "other")
-            listed = by_node.unionByName(by_section).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("edge_idx", "relation", "other"))).alias("e"))
+            edges_of = F.sort_array(F.collect_list(F.struct("edge_idx", "relation", "other"))).alias("e")
+            listed = by_node.unionByName(by_section).groupBy("query").agg(edges_of)
+            every = self.edges.withColumnRenamed("dst", "other").agg(edges_of)  # one row: the whole map, where nothing narrows it
+            listed = listed.unionByName(focus.where("node is null and section_id is null").select("query").crossJoin(F.broadcast(every)))
             parts.append(
                 focus.join(listed, "query", "left").select("query", F.lit("concepts").alias("kind"), F.array_join(F.transform("e", lambda x: F.concat_ws(" ", x["relation"], x["other"])), "\n").alias("text"), F.array_compact(F.array("section_id")).alias("sections"))
             )
