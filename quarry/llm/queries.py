@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, extract, mixing, neardup, quality, secrets, substrings, toxicity, urls, vectors
+from quarry.llm import decontaminate, extract, mixing, neardup, oracles, quality, secrets, substrings, toxicity, urls, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,5 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": oracles.OP1,
+    "op4_winnowing": oracles.OP4,
+    "op6_inverted_multi_index": oracles.OP6,
+    "op9_substring_dedup": oracles.OP9,
     "op10_mix_sources": "WITH " + mixing.MIX_SQL.replace("{docs}", "documents") + "SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed",
 }
