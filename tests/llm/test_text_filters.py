@@ -200,7 +200,6 @@ def test_mined_rules_match_brute_force(spark):
     sure = {k: m for k, m in sure.items() if m[0] >= 0.8 and m[1] >= 0.02}
     want = {k: m for k, m in sure.items() if not any(q < k[0] and v == k[1] and n[0] >= m[0] for (q, v), n in sure.items())}
     short = {k: m for k, m in got.items() if len(k[0]) <= 3}
-    print(sorted(map(str, set(short) ^ set(want))))
     assert len(want) > 3 and short.keys() == want.keys() and all(m == pytest.approx(want[k]) for k, m in short.items())
     assert all(len(p) > 3 or (p, v) in want for p, v in got) and not any("rare" in p for p, _ in got)
 
