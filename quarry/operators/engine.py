@@ -77,9 +77,13 @@ class Engine:
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         return E.embed(queries.select("query", "text"), "text", self.embedder).select("query", "vector")
 
-    def order(self, queries: DataFrame, wide: DataFrame | None = None) -> DataFrame:
-        """(query, chunk, fused, rn); ``wide`` has the texts to look up words of, where they are not the questions' own."""
-        bm25 = self.index.bm25(queries if wide is None else wide)
+    def order(self, queries: DataFrame, wide: DataFrame | None = None, most: int | None = None) -> DataFrame:
+        """(query, chunk, fused, rn); ``wide`` has the texts to look up words of, where they are not the questions' own.
+
+        With ``most`` only the first places are sure to be there; keywords alone then need not score every hit.
+        """
+        asked = queries if wide is None else wide
+        bm25 = self.index.bm25(asked) if most is None or self.vectors is not None else self.index.first(asked, most)
         return R.hybrid(bm25, None if self.vectors is None else R.cosines(self.query_vectors(queries), self.vectors, R.COSINE_DEPTH))
 
     def sentences(self, order: DataFrame) -> DataFrame:
@@ -90,7 +94,7 @@ class Engine:
 
     def search(self, queries: DataFrame, limit: int = 8) -> DataFrame:
         """(query, rank, chunk, section_id, heading_path, snippet, score)."""
-        order = stored(self.order(queries).where(F.col("rn") <= limit), "ask-order")
+        order = stored(self.order(queries, most=limit).where(F.col("rn") <= limit), "ask-order")
         hits = R.search(order, limit)
         cut = self.sentences(order).select("chunk", "lang", "sentence_pos", "sentence")
         snippets = A.snippets(hits.select("query", "chunk"), cut, self.chunks.select("chunk", "text"), queries.select("query", "text", "lang"), self.index)
@@ -122,7 +126,7 @@ class Engine:
 
     def extract(self, queries: DataFrame, wide: DataFrame | None = None, window: int = A.CHUNK_WINDOW, restrict: DataFrame | None = None, most: int = 3) -> DataFrame:
         """(query, place, chunk, lang, section_id, block_id, sentence, score)."""
-        order = stored(self.order(queries, wide).where(F.col("rn") <= window), "ask-order")
+        order = stored(self.order(queries, wide, window).where(F.col("rn") <= window), "ask-order")
         cut = self.sentences(order)
         if self.vectors is not None:
             cut = E.embed(cut, "sentence", self.embedder)

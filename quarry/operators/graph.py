@@ -34,16 +34,18 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Breadth first with one row per pair and node: among shortest paths the one with the least edge list, which is the one
     that a queue over edges in order finds. Nodes with one neighbour are entered only if they are the target, so large
-    fans of leaves are not expanded. An empty path joins a node to itself.
+    fans of leaves are not expanded: their edges are looked up by both ends. An empty path joins a node to itself.
     """
     adj = adjacency(edges).where("node <> other").select("node", "other", "edge_idx")
     inner = adj.groupBy("node").agg(F.count_distinct("other").alias("degree")).where("degree > 1").select(F.col("node").alias("inner"))
     steps = stored(adj.join(inner, F.col("other") == F.col("inner"), "left").select("node", "other", "edge_idx", F.col("inner").isNotNull().alias("through")), "graph-steps")
+    inward, last = steps.where("through"), steps.where("not through")
     # one table per step: plans stay small, and the walk ends when nothing new is reached
     front = stored(pairs.select("pair", "b", F.col("a").alias("at"), F.array().cast("array<long>").alias("path")), "graph-front")
     fronts = [front]
     while True:
-        walked = front.where("at <> b").join(steps, F.col("at") == F.col("node")).where("through or other = b")
+        open_ends = front.where("at <> b")
+        walked = open_ends.join(inward, F.col("at") == F.col("node")).unionByName(open_ends.join(last, (F.col("at") == F.col("node")) & (F.col("b") == F.col("other"))))
         nearest = walked.groupBy("pair", "b", F.col("other").alias("at")).agg(F.min(F.concat("path", F.array("edge_idx"))).alias("path"))
         seen = fronts[0].select("pair", "at")
         for f in fronts[1:]:

@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.tables import stored
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 COSINE_DEPTH = 50
+#: Chunks above which a term is common: ``Index.first`` scores it once for all queries with the same common terms.
+COMMON = 256
 #: Queries that one pass over the vectors scores; more go in several passes.
 QUERY_BLOCK = 4096
 
@@ -104,10 +107,31 @@ class Index:
     def bm25(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """(query, chunk, score), score > 0. Only postings of query terms are scored."""
         wanted = query_terms(queries)
-        asked = wanted.join(self.weighted(wanted), "term")
-        scored = self.postings.join(asked, "term").crossJoin(F.broadcast(self.stats.select("avgdl")))
+        return self._scored(self.postings.join(wanted.join(self.weighted(wanted), "term"), "term"), "query", k1, b)
+
+    def _scored(self, found: DataFrame, by: str, k1: float = K1, b: float = B) -> DataFrame:
+        """(by, chunk, score), score > 0, of postings with their term's idf."""
+        scored = found.crossJoin(F.broadcast(self.stats.select("avgdl")))
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        return scored.groupBy("query", "chunk").agg(F.sum(part).alias("score")).where("score > 0")
+        return scored.groupBy(by, "chunk").agg(F.sum(part).alias("score")).where("score > 0")
+
+    def first(self, queries: DataFrame, most: int) -> DataFrame:
+        """``bm25`` of some chunks of each query, among them its first ``most`` by ``rank``; without scoring all hits of common terms.
+
+        Parts of a score are positive. So a chunk that has none of a query's rare terms is among the first only if it is
+        among the first by the common terms, which are scored once for all queries that share them. Chunks with a rare term
+        are all scored.
+        """
+        wanted = query_terms(queries)
+        asked = stored(wanted.join(self.weighted(wanted), "term"), "index-asked")
+        common = F.col("df") > COMMON
+        shared = stored(asked.where(common).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("terms")), "index-shared")
+        sets = shared.select("terms").distinct().select(F.array_join("terms.term", " ").alias("query"), F.inline("terms"))
+        top = rank(self._scored(self.postings.join(sets, "term"), "query"), most=most).select(F.col("query").alias("set"), "chunk")
+        near = shared.select("query", F.array_join("terms.term", " ").alias("set")).join(top, "set").select("query", "chunk")
+        rare = self.postings.join(asked.where(~common).select("query", "term"), "term").select("query", "chunk")
+        candidates = near.unionByName(rare).distinct()
+        return self._scored(candidates.join(asked, "query").join(self.postings, ["chunk", "term"]), "query")
 
 
 def rank(scores: DataFrame, key: str = "chunk", value: str = "score", most: int | None = None) -> DataFrame:

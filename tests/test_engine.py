@@ -157,3 +157,36 @@ def test_evidence_does_not_compare_all_ends_with_all_sentences(spark, tmp_path):
     # of namesakes the first one's sentence; Customer#1 is not Customer#10
     assert got[1_000_000_299] == f"Supplier#49 {place} sells here." and got[2_000_000_001] == f"Customer#1 {place} buys here."
     assert most_rows(out) < 40 * n  # 600 ends times 600 sentences are 360 000
+
+
+def test_first_chunks_without_scoring_all_hits_of_common_terms(spark, monkeypatch):
+    from quarry.operators import retrieval as R
+
+    r = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma", "delta", *(f"rare{k}" for k in range(60))]
+    texts = [" ".join(["alpha"] * int(r.integers(1, 4)) + list(r.choice(words, int(r.integers(1, 9))))) for _ in range(300)]
+    chunks = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "chunk long, text string, lang string")
+    asked = [f"alpha beta rare{k % 60} rare{k % 7}" for k in range(80)] + ["alpha", "rare3", "unknown", "beta gamma", "alpha unknown"]
+    queries = spark.createDataFrame([(k, t, "en") for k, t in enumerate(asked)], "query long, text string, lang string")
+    index = R.Index(chunks)
+    ranked = lambda scores: sorted(map(tuple, R.rank(scores, most=5).select("query", "rn", "chunk").collect()))
+    want, hits = ranked(index.bm25(queries)), index.bm25(queries).count()
+    for common in (0, 20, 1000):
+        monkeypatch.setattr(R, "COMMON", common)
+        assert ranked(index.first(queries, 5)) == want
+    monkeypatch.setattr(R, "COMMON", 20)
+    assert index.first(queries, 5).count() < hits / 5
+
+
+def test_paths_do_not_walk_fans_of_leaves(spark, monkeypatch):
+    from quarry.operators import graph as G
+
+    n = 400
+    edges = [(0, "n1", "r"), (1, "n2", "r"), *((10 + k, f"s{k}", "n1") for k in range(n)), *((10_000 + k, f"c{k}", "n2") for k in range(n))]
+    e = spark.createDataFrame([(k, a, b, "in") for k, a, b in edges], "edge_idx long, src string, dst string, relation string")
+    pairs = spark.createDataFrame([(k, f"s{k}", f"c{k}") for k in range(n)], "pair long, a string, b string")
+    made, stored = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df, name: (made.append(most_rows(df)), stored(df, name))[1])
+    got = {r["pair"]: r["path"] for r in G.shortest_paths(e, pairs).collect()}
+    assert got == {k: [10 + k, 0, 1, 10_000 + k] for k in range(n)}
+    assert max(made) < 20 * n  # 400 pairs times the 401 edges at a node are 160 400
