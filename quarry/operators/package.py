@@ -46,7 +46,7 @@ def inline_images(wanted: DataFrame, files: DataFrame) -> DataFrame:
     media = F.try_element_at(F.create_map(*[F.lit(x) for p in MEDIA.items() for x in p]), ending)
     joined = wanted.withColumn("_stem", F.regexp_replace("src", r"\.[A-Za-z0-9]+$", "")).withColumn("_media", media).join(files, F.col("_stem") == F.col("stem"), "left")
     good = F.col("_media").isNotNull() & F.col("content").isNotNull()
-    data = F.when(good, F.concat(F.lit("data:"), F.col("_media"), F.lit(";base64,"), F.base64("content")))
+    data = F.when(good, F.concat(F.lit("data:"), F.col("_media"), F.lit(";base64,"), T.base64(F.col("content"))))
     warning = F.when(~good, F.concat(F.lit("image not found or unsupported: "), F.col("src")))
     return joined.select(*wanted.columns, data.alias("data"), warning.alias("warning"))
 

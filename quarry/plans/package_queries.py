@@ -50,7 +50,7 @@ last AS (SELECT page_id, id, max(pos) AS pos, arg_max(type, pos) AS type, arg_ma
 def packed(spark: SparkSession, d: str) -> DataFrame:
     tail = F.concat(
         F.lit('<script type="application/url+json" id="u">{"page":'), F.col("page_id").cast("string"), F.lit("}</script>"),
-        F.lit('<script type="application/data" id="d" data-encoding="base64">'), F.base64(F.encode("url", "UTF-8")), F.lit("</script>"),
+        F.lit('<script type="application/data" id="d" data-encoding="base64">'), T.base64(F.encode("url", "UTF-8")), F.lit("</script>"),
         F.lit('<script type="application/data" id="u">last</script>'),
     )
     return X.table(spark, d, "pages").select("page_id", F.concat("html", tail).alias("html"))
@@ -217,7 +217,7 @@ IMAGES = "(SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'data:image/png;base64,'
 @query(f"SELECT page_id, regexp_matches(src, '(?i)^data:image/(png|jpeg|gif|webp|avif|svg\\+xml);base64,[A-Za-z0-9+/=\\s]+$') AS kept FROM {IMAGES}")
 def image_filter(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id") % 4
-    src = F.when(k == 0, F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("url", "UTF-8")))).when(k == 1, "data:image/bmp;base64,AAAA").when(k == 2, F.col("url")).otherwise("DATA:image/SVG+xml;base64,AA==")
+    src = F.when(k == 0, F.concat(F.lit("data:image/png;base64,"), T.base64(F.encode("url", "UTF-8")))).when(k == 1, "data:image/bmp;base64,AAAA").when(k == 2, F.col("url")).otherwise("DATA:image/SVG+xml;base64,AA==")
     return X.table(spark, d, "pages").select("page_id", Z.image_allowed(src).alias("kept"))
 
 

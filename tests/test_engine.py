@@ -190,3 +190,12 @@ def test_paths_do_not_walk_fans_of_leaves(spark, monkeypatch):
     got = {r["pair"]: r["path"] for r in G.shortest_paths(e, pairs).collect()}
     assert got == {k: [10 + k, 0, 1, 10_000 + k] for k in range(n)}
     assert max(made) < 20 * n  # 400 pairs times the 401 edges at a node are 160 400
+
+
+def test_long_base64_has_no_line_breaks(spark):
+    import base64
+
+    from quarry.functions import text as T
+
+    rows = spark.createDataFrame([(bytes(range(n)),) for n in (0, 57, 58, 200)], "b binary")
+    assert [r[0] for r in rows.select(T.base64("b")).collect()] == [base64.b64encode(bytes(range(n))).decode() for n in (0, 57, 58, 200)]
