@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -113,7 +113,12 @@ class Index:
         """(by, chunk, score), score > 0, of postings with their term's idf."""
         scored = found.crossJoin(F.broadcast(self.stats.select("avgdl")))
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-        return scored.groupBy(by, "chunk").agg(F.sum(part).alias("score")).where("score > 0")
+        # whole and rest of each part in fixed point: sums of integers, so no order of rows shows in the last bits
+        units = part * float(1 << 40)
+        whole = F.floor(units)
+        rest = F.floor((units - whole) * float(1 << 44))
+        sums = scored.select(by, "chunk", whole.alias("whole"), rest.alias("rest")).groupBy(by, "chunk").agg(F.sum("whole").alias("whole"), F.sum("rest").alias("rest"))
+        return sums.select(by, "chunk", (F.col("whole") / float(1 << 40) + F.col("rest") / float(1 << 84)).alias("score")).where("score > 0")
 
     def first(self, queries: DataFrame, most: int) -> DataFrame:
         """``bm25`` of some chunks of each query, among them its first ``most`` by ``rank``; without scoring all hits of common terms.
@@ -134,9 +139,15 @@ class Index:
         return self._scored(candidates.join(asked, "query").join(self.postings, ["chunk", "term"]), "query")
 
 
+def rounded(value: Column | str, digits: int = 9) -> Column:
+    """A double to so many digits, as SQL engines round: the scaled value to the nearest integer, not its decimal digits."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def rank(scores: DataFrame, key: str = "chunk", value: str = "score", most: int | None = None) -> DataFrame:
     """``rn`` from 1 by score, ties by key; ``most`` keeps the first ranks (pruned before the shuffle)."""
-    order = Window.partitionBy("query").orderBy(F.round(value, 9).desc(), F.col(key))
+    order = Window.partitionBy("query").orderBy(rounded(value).desc(), F.col(key))
     out = scores.withColumn("rn", F.row_number().over(order))
     return out if most is None else out.where(F.col("rn") <= most)
 

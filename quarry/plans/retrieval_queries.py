@@ -73,7 +73,7 @@ def bm25_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {X.BM25_CTE} SELECT query, chunk, rn, round(score, 6) AS score FROM bm_rank")
 def bm25_rank(spark: SparkSession, d: str) -> DataFrame:
-    return R.rank(X.index(spark, d).bm25(X.queries(spark, d))).select("query", "chunk", F.col("rn").cast("long").alias("rn"), F.round("score", 6).alias("score"))
+    return R.rank(X.index(spark, d).bm25(X.queries(spark, d))).select("query", "chunk", F.col("rn").cast("long").alias("rn"), R.rounded("score", 6).alias("score"))
 
 
 @query(f"WITH {X.BM25_CTE} SELECT query, chunk, rn AS rank, round(1.0 / (60 + rn), 9) AS score FROM bm_rank WHERE rn <= 8")

@@ -199,3 +199,22 @@ def test_long_base64_has_no_line_breaks(spark):
 
     rows = spark.createDataFrame([(bytes(range(n)),) for n in (0, 57, 58, 200)], "b binary")
     assert [r[0] for r in rows.select(T.base64("b")).collect()] == [base64.b64encode(bytes(range(n))).decode() for n in (0, 57, 58, 200)]
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark):
+    import math
+
+    from quarry.operators import retrieval as R
+
+    r = np.random.default_rng(11)
+    rows = [(c, f"w{t}", int(r.integers(1, 6))) for c in range(200) for t in r.choice(24, 16, replace=False)]
+    length = {c: sum(tf for d, _, tf in rows if d == c) for c in range(200)}
+    chunks = spark.createDataFrame([(c, "", "en") for c in range(200)], "chunk long, text string, lang string")
+    postings = spark.createDataFrame([(c, t, tf, length[c]) for c, t, tf in rows], "chunk long, term string, tf long, dl long").repartition(7)
+    index = R.Index(chunks, postings)
+    query = spark.createDataFrame([(0, " ".join(f"w{t}" for t in range(24)), "en")], "query long, text string, lang string")
+    idf = {x["term"]: x["idf"] for x in index.weighted(R.query_terms(query)).collect()}
+    mean = sum(length.values()) / 200
+    part = lambda t, tf, dl: idf[t] * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * dl / mean))
+    got = {x["chunk"]: x["score"] for x in index.bm25(query).collect()}
+    assert got == {c: math.fsum(part(t, tf, length[c]) for d, t, tf in rows if d == c) for c in range(200)}
