@@ -176,15 +176,18 @@ def _scored(vectors: DataFrame, query_type: str, names: list, unit: list, most:
                 continue
             stored = batch.column(1)
             x = stored.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            # products one by one would differ from a matrix product in the last bit only; ranks round to 9 digits
+            # a matrix product finds the rows; its last bits depend on its blocks, so what is kept is summed again in order
             cos = matrix @ x.T / 127
             if most is not None and batch.num_rows > 4 * most:
                 least = np.partition(cos, -most, axis=1)[:, -most][:, None]
                 q, k = np.nonzero(cos >= least - 1e-9)
             else:
                 q, k = (a.ravel() for a in np.indices(cos.shape))
+            exact = np.zeros(len(q))
+            for dim in range(x.shape[1]):
+                exact += matrix[q, dim] * x[k, dim]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in q], type=pa.int64() if query_type == "bigint" else None), batch.column(0).take(pa.array(k)), pa.array(cos[q, k])], ["query", "key", "cos"]
+                [pa.array([names[i] for i in q], type=pa.int64() if query_type == "bigint" else None), batch.column(0).take(pa.array(k)), pa.array(exact / 127)], ["query", "key", "cos"]
             )
 
     kind = vectors.schema["key"].dataType.simpleString()

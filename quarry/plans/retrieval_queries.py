@@ -109,7 +109,7 @@ def best_cos(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {X.HYBRID_CTE} SELECT query, chunk, rn, round(fused, 9) AS fused FROM ordered")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return _order(spark, d).select("query", "chunk", F.col("rn").cast("long").alias("rn"), F.round("fused", 9).alias("fused"))
+    return _order(spark, d).select("query", "chunk", F.col("rn").cast("long").alias("rn"), R.rounded("fused").alias("fused"))
 
 
 @query(f"WITH {X.HYBRID_CTE} SELECT query, chunk, rn AS rank, round(1.0 / (60 + rn), 9) AS score FROM ordered WHERE rn <= 8")

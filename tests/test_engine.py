@@ -218,3 +218,22 @@ def test_scores_do_not_depend_on_the_order_of_rows(spark):
     part = lambda t, tf, dl: idf[t] * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * dl / mean))
     got = {x["chunk"]: x["score"] for x in index.bm25(query).collect()}
     assert got == {c: math.fsum(part(t, tf, length[c]) for d, t, tf in rows if d == c) for c in range(200)}
+
+
+def test_cosines_are_summed_in_order(spark):
+    from quarry.operators import retrieval as R
+
+    r = np.random.default_rng(12)
+    unit, stored = r.normal(size=(30, 37)), r.integers(-127, 128, size=(200, 37)).astype(float)
+    q = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(unit)], "query long, vector array<double>")
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(stored)], "key long, vector array<double>")
+    got = {(x["query"], x["key"]): x["cos"] for x in R.cosines(q, v).collect()}
+    assert got == {(a, b): _in_order(unit[a], stored[b]) / 127 for a in range(30) for b in range(200)}
+
+
+def _in_order(a, b):
+    """A plain loop: Python's own sum is compensated."""
+    total = 0.0
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        total += x * y
+    return total
