@@ -2,7 +2,8 @@
 
 The conditional base of an item set is the rows that hold it, cut to the items that may still join it; equal rows are
 merged with their counts. As in parallel FP-growth, bases are mined apart: a base of more than ``BASE_ROWS`` rows is taken
-one item further by Spark, the others are mined by the tasks that hold them.
+one item further by Spark, the others are mined by the tasks that hold them; a base of ``FEW`` mixed items at most is
+counted for all sets of these at once.
 
 Nothing is cut off. Item sets are left out where they and all larger ones give no rule, or only rules that a shorter one
 makes redundant:
@@ -31,11 +32,13 @@ from quarry.llm.store import release, stored
 
 #: Rows of a base that a task mines at most; larger ones are divided first.
 BASE_ROWS = 20_000
+#: Items of a base whose sets are all counted in one array, of 2 ** FEW places.
+FEW = 12
 
 RULE = "antecedent array<int>, verdict string, confidence double, rows long"
 
 
-def mine(labelled: DataFrame, wanted: DataFrame, least: int, sure: float, base_rows: int = BASE_ROWS) -> tuple[DataFrame, DataFrame]:
+def mine(labelled: DataFrame, wanted: DataFrame, least: int, sure: float, base_rows: int = BASE_ROWS, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """All rules of (tokens, verdict) rows that hold for ``least`` rows, are as sure as ``sure`` and fit a row of ``wanted``
     (tokens), but those that a part of their items gives as surely.
 
@@ -69,7 +72,7 @@ def mine(labelled: DataFrame, wanted: DataFrame, least: int, sure: float, base_r
         rules, kids = _one_further(rows, least, sure)
         found.append(rules)
         large = stored(kids.groupBy("base").agg(F.count("*").alias("held")).where(F.col("held") > base_rows).select("base"), "rule-large")
-        small = kids.join(large, "base", "left_anti").groupBy("base").applyInArrow(_grown(least, sure), RULE)
+        small = kids.join(large, "base", "left_anti").groupBy("base").applyInArrow(_grown(least, sure, few), RULE)
         found.append(stored(small, "rule-grown"))
         spent += [rows, large, kids]
         rows = stored(kids.join(large, "base"), "rule-base")
@@ -107,7 +110,7 @@ def _one_further(rows: DataFrame, least: int, sure: float) -> tuple[DataFrame, D
     return rules, deeper
 
 
-def _grown(least: int, sure: float):
+def _grown(least: int, sure: float, few: int):
     """Mines a whole base in one task."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -121,7 +124,7 @@ def _grown(least: int, sure: float):
         at = np.repeat(np.arange(len(n)), lists.value_lengths().to_numpy())
         total = weights[:-1].sum()
         start = weights[:-1].sum(axis=1) / max(total, 1)
-        rules = list(_grow(base, items, at, of, weights, total, start, least, sure))
+        rules = list(_grow(base, items, at, of, weights, total, start, least, sure, few))
         kind = pa.schema([("antecedent", pa.list_(pa.int32())), ("verdict", pa.string()), ("confidence", pa.float64()), ("rows", pa.int64())])
         columns = zip(*((sorted(s), names[v], c, int(k)) for s, v, c, k in rules)) if rules else ([], [], [], [])
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
@@ -129,7 +132,7 @@ def _grown(least: int, sure: float):
     return run
 
 
-def _grow(base: list, items: np.ndarray, at: np.ndarray, of: np.ndarray, weights: np.ndarray, held: float, known: np.ndarray, least: int, sure: float) -> Iterator[tuple]:
+def _grow(base: list, items: np.ndarray, at: np.ndarray, of: np.ndarray, weights: np.ndarray, held: float, known: np.ndarray, least: int, sure: float, few: int) -> Iterator[tuple]:
     """Rules (items, verdict, confidence, rows) of all sets that add to ``base``.
 
     Row ``at[i]`` holds item ``items[of[i]]``; ``known`` is the best confidence so far, by verdict, on the way to ``base``.
@@ -149,18 +152,52 @@ def _grow(base: list, items: np.ndarray, at: np.ndarray, of: np.ndarray, weights
     place[kids] = np.arange(len(kids))
     of = place[of]
     at, of = at[of < len(kids)], of[of < len(kids)]
+    if len(kids) <= few:
+        yield from _sets(base, items[kids], at, of, weights, known, least, sure)
+        return
     for i, k in enumerate(kids):
         holds = np.zeros(weights.shape[1], bool)
         holds[at[of == i]] = True
         rest = holds[at] & (of < i)
         if rest.any():
-            yield from _grow([*base, int(items[k])], items[kids[:i]], at[rest], of[rest], weights, total[k], reached[k], least, sure)
+            yield from _grow([*base, int(items[k])], items[kids[:i]], at[rest], of[rest], weights, total[k], reached[k], least, sure, few)
+
+
+def _sets(base: list, items: np.ndarray, at: np.ndarray, of: np.ndarray, weights: np.ndarray, known: np.ndarray, least: int, sure: float) -> Iterator[tuple]:
+    """As ``_grow``, of sets with two items more at least: counts of all of them at once, place 2 ** i for item i."""
+    if len(items) < 2:
+        return
+    codes = np.bincount(at, weights=2.0**of).astype(np.int64)
+    held = np.flatnonzero(codes)
+    counts = np.array([np.bincount(codes[held], weights=w[held], minlength=1 << len(items)) for w in weights])
+    split = lambda lines, i: lines.reshape(len(lines), -1, 2, 1 << i).swapaxes(0, 2)  # noqa: E731  (without item i, with it)
+    for i in range(len(items)):
+        without, with_it = split(counts, i)
+        without += with_it
+    confidence = counts[:-1] / np.maximum(counts[:-1].sum(axis=0), 1)
+    confidence[:, 0] = known
+    surest = confidence.copy()  # of a set and its parts
+    for i in range(len(items)):
+        without, with_it = split(surest, i)
+        np.maximum(with_it, without, out=with_it)
+    parts = np.zeros_like(surest)
+    for i in range(len(items)):
+        with_it = split(parts, i)[1]
+        np.maximum(with_it, split(surest, i)[0], out=with_it)
+    several = np.arange(counts.shape[1])
+    several = (several & (several - 1)) > 0  # single ones are told already
+    for v, code in np.argwhere((counts[:-1] >= least) & (counts[-1] > 0) & (confidence >= sure) & (confidence > parts) & several):
+        yield [*base, *(int(t) for i, t in enumerate(items) if code >> i & 1)], v, float(confidence[v, code]), counts[v, code]
 
 
 def _needed(rules: DataFrame) -> DataFrame:
-    """Without the rules that a part of their items, found under its rarest one, gives as surely."""
+    """Without the rules that a part of their items, found under its three rarest ones or all it has, gives as surely."""
     rules = rules.withColumn("rule", F.xxhash64("antecedent", "verdict"))
-    long = rules.where(F.size("antecedent") > 1).select("rule", "verdict", "confidence", "antecedent", F.explode("antecedent").alias("item"))
-    short = rules.select(F.element_at("antecedent", -1).alias("item"), "verdict", F.col("antecedent").alias("part"), F.col("confidence").alias("surer"))
-    within = long.join(short, ["item", "verdict"]).where((F.size("part") < F.size("antecedent")) & (F.col("surer") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0))
+    none = F.array(F.lit(0))
+    before = lambda at: F.concat(none, F.slice("antecedent", F.lit(1), F.greatest(at, F.lit(0))))
+    long = rules.where(F.size("antecedent") > 1).select("rule", "verdict", "confidence", "antecedent", F.posexplode("antecedent").alias("i", "x"))
+    long = long.select("*", F.posexplode(before(F.col("i"))).alias("j", "y")).select("*", F.explode(before(F.col("j") - 1)).alias("z"))
+    last = [F.coalesce(F.try_element_at("antecedent", F.lit(-k)), F.lit(0)).alias(c) for k, c in enumerate("xyz", 1)]
+    short = rules.select(*last, "verdict", F.col("antecedent").alias("part"), F.col("confidence").alias("surer"))
+    within = long.join(short, ["x", "y", "z", "verdict"]).where((F.size("part") < F.size("antecedent")) & (F.col("surer") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0))
     return rules.join(within.select("rule").distinct(), "rule", "left_anti").select("antecedent", "verdict", "confidence", "rows")

@@ -265,15 +265,15 @@ def test_long_rows_give_all_rules(spark):
 
 
 def test_large_bases_are_divided(spark):
-    """Bases mined by Spark, item by item, by tasks, or first one then the other; wanted rows choose among the rules."""
+    """Bases mined by Spark, item by item, by tasks, or first one then the other, and by arrays of all sets; wanted rows choose among the rules."""
     names, rows = _long_rows(6, tokens=14)
     names += ["t14", "t15"]
     wanted = [names[:11], names[5:], ["t09", "t11", "none"]]
     want = {k: m for k, m in _rules_by_force(rows, names, 28, 0.7).items() if any(k[0] <= set(w) for w in wanted)}
     assert max(len(p) for p, _ in want) > 2
     known, asked = spark.createDataFrame(rows, "tokens array<string>, verdict string"), spark.createDataFrame([(w,) for w in wanted], "tokens array<string>")
-    for base_rows in (0, 12, 10**6):
-        rules, classes = growth.mine(known, asked, 28, 0.7, base_rows)
+    for base_rows, few in ((0, 12), (12, 3), (10**6, 0), (10**6, 12)):
+        rules, classes = growth.mine(known, asked, 28, 0.7, base_rows, few)
         tokens = {}
         for c in classes.collect():
             tokens.setdefault(c["item"], []).append(c["token"])
